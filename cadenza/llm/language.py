@@ -12,7 +12,7 @@ at once: the automaton with its restarts is one dense table, a character costs o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -149,14 +149,17 @@ def fit(docs: DataFrame, keep=None, max_docs: int = DOCS, max_chars: int = CHARS
     return Model({k: v for k, v in samples.items() if any(c.isalpha() for c in v)})
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, n_letters, phrase_rate) for every row of docs (doc_id, text, ...).
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns keep, lang_pred, score, n_letters and phrase_rate for every row of docs (text, ...).
 
     lang_pred is "und", with score 0, where text is null or has no letter, and for every text if
     nothing was learned. Equal costs: the language that comes first in the alphabet. phrase_rate is
-    phrases a character, 1 for text unlike all that was learned. Repeated rows are answered each;
-    other columns are not read.
+    phrases a character, 1 for text unlike all that was learned. Repeated rows are answered each. The
+    four new columns replace columns of those names; only text is read.
     """
+    kept = [c for c in keep if c not in ("lang_pred", "score", "n_letters", "phrase_rate")]
+    rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
+    shape = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("n_letters", "long").add("phrase_rate", "double")
     key, names = model.key(), list(model.samples)
     nats = np.log([max(2, len(t)) for t in model.samples.values()])
     shared = docs.sparkSession.sparkContext.broadcast(key)
@@ -167,7 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
                 coded, letters = [], []
-                for t in batch.column(1):
+                for t in batch.column(batch.num_columns - 1):
                     c = characters(t.as_py() or "")
                     letters.append(int(np.count_nonzero(c)))
                     coded.append(to[c] if letters[-1] and names else to[:0])
@@ -183,10 +186,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     share, rate, lang = np.zeros(len(size)), np.ones(len(size)), ["und"] * len(size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(lang), pa.array(np.where(known, share, 0.0)), pa.array(letters, pa.int64()), pa.array(np.where(known, rate, 1.0))],
-                    ["doc_id", "lang_pred", "score", "n_letters", "phrase_rate"],
+                    [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(letters, pa.int64()), pa.array(np.where(known, rate, 1.0))],
+                    [*(f.name for f in shape.fields[: len(kept)]), "lang_pred", "score", "n_letters", "phrase_rate"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, n_letters long, phrase_rate double"
-    )
+    return rows.mapInArrow(run, shape)

@@ -1,25 +1,75 @@
-"""Corpus preparation in stages, each written as Parquet and read again."""
+"""Corpus preparation in five stages, each written as Parquet and read again by the next.
+
+    language_id        documents in no learned language go
+    simhash_near_dedup one document of each group of near copies stays, the one of the smallest doc_id
+    decontamination    documents that hold a benchmark item go
+    source_mixing      sources are repeated towards 0.9 of the greatest entropy; none is cut
+    token_files        the ids of what is left, written to seekable files and read back
+
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from cadenza.llm import simhash
-from cadenza.llm.queries import table
+import public_tokenizers
+from cadenza.llm import decontamination, language, mixing, simhash, token_files
+from cadenza.llm.common import new_path, written
+from cadenza.llm.queries import held_out, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A text of this many phrases a character or more is like none of the learned languages (they have
+#: about a quarter of it), if it has letters enough to tell.
+STRANGE_RATE, ENOUGH_LETTERS = 0.7, 40
+
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those unlike all languages that the corpus labels."""
+    found = language.identify(docs, language.fit(docs, ~held_out()), keep=docs.columns)
+    rejected = (F.col("lang_pred") == "und") | ((F.col("phrase_rate") >= STRANGE_RATE) & (F.col("n_letters") >= ENOUGH_LETTERS))
+    return found.where(~rejected).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies only the document with the smallest doc_id stays."""
     again = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti")
+    return docs.join(again, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers and names, go."""
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated; every document stays at least once."""
+    return mixing.mix(docs, entropy=0.9, repeats=4.0).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows' token ids go to files; the result is read back from them."""
+    path = new_path(spark, "corpus-tokens")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontamination", decontaminate),
+    ("source_mixing", source_mixing),
+    ("token_files", write_tokens),
+]
+#: SQL has neither suffix automata, XXH64 nor the tokenizer: the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs
