@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat_format, decontamination, embedding_dedup, language, line_dedup, mixing, sharding, simhash, token_files, toxicity
+from cadenza.llm import chat_format, decontamination, embedding_dedup, language, line_dedup, mixing, sharding, simhash, sql, token_files, toxicity
 from cadenza.llm.common import new_path
 from cadenza.session import ship
 
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
