@@ -17,7 +17,9 @@ of the magic: any Hadoop file system serves, and the commit protocol survives lo
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -36,39 +38,81 @@ SKIPPABLE, MAGIC = 0x184D2A5E, b"CZSEEK1\n"
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4"), ("first", "<i8"), ("last", "<i8"), ("docs", "<u4"), ("ids", "<u8")])
 #: Ids after which a frame, and a file, is closed.
 FRAME_IDS, FILE_IDS = 1 << 16, 1 << 23
-#: Words a worker remembers at most; beyond it starts anew.
-WORDS = 400_000
+#: Words a worker remembers, once; at most twice as many and a batch's.
+WORDS = 450_000
+#: Closing punctuation, which never begins a contraction.
+_CLOSING = b".,;:!?)*#$%&|"
 #: A null doc_id in a file.
 NULL_ID = -(1 << 63)
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, a word at a time.
-
-    The vocabulary's normaliser and splitter never join characters across ASCII white space, and its
-    special tokens hold none, so the ids of a text are those of its words in order. Words repeat, so
-    each worker remembers the ids of words; the library sees each new word once.
+    """Ids of whole texts by the tokenizers library, for word vocabularies a word at a time.
+
+    A vocabulary that drops white space, with words that end in a mark of their own, never joins
+    characters across ASCII white space, and its special tokens hold none, so the ids of a text are
+    those of its words in order. Closing punctuation after a letter or digit is a piece of its own in
+    such a vocabulary, and ASCII letters are lower-cased. Words repeat: the library sees what is new,
+    and a worker remembers the words of the last WORDS to 2 * WORDS different ones that it met.
+    Other vocabularies get whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.by_words = made["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and not any(
+            t["lstrip"] or t["rstrip"] or t["content"].encode().split() != [t["content"].encode()] for t in made["added_tokens"]
+        )
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _word_ids(self, words: list[bytes]) -> Iterator[bytes]:
+        """ASCII lower-case words are what the normaliser and splitter make of them: the merges alone are left."""
+        plain = [w.isalpha() and w.islower() for w in words]
+        rest = self._library([w for w, p in zip(words, plain, strict=True) if not p])
+        merge = self.tokenizer.model.tokenize
+        for w, p in zip(words, plain, strict=True):
+            yield np.array([t.id for t in merge(w.decode())], "<u4").tobytes() if p else next(rest)
+
+    def _library(self, texts: list[bytes]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + 4096]], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Move the words that are known to the young; give the others."""
+        old, young, new = self.old, self.young, []
+        for w in words.difference(young):
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = ids
+        return new
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text its ids as little-endian u32."""
+        if not self.by_words:
+            yield from self._library(texts)
+            return
+        if len(self.young) > WORDS:
+            self.old, self.young = self.young, {}
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        known = self.known
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        young = self.young
+        cut = {}
+        for w in self._recall({w for words in split for w in words}):
+            core = w.rstrip(_CLOSING)
+            if len(core) < len(w) and not (core[-1:].isalnum() or (core and core[-1] >= 0x80 and unicodedata.normalize("NFC", core.decode()).lower().isalpha())):
+                core = w
+            cut[w] = (core.lower() if core.isalpha() else core), w[len(core) :]
+        fresh = self._recall({x for pair in cut.values() for x in pair if x})
+        young.update(zip(fresh, self._word_ids(fresh), strict=True))
+        for w, (core, closing) in cut.items():
+            young[w] = young[core] + young[closing] if closing else young[core]
         for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            yield b"".join(map(young.__getitem__, words))
 
 
 @cache
