@@ -24,16 +24,16 @@ def nonzero(blocks: DataFrame, column: str = "levels") -> DataFrame:
 def train(blocks: DataFrame, codes: int = CODES, column: str = "levels") -> DataFrame:
     """(code, centroid) by k-means over a bounded sample of TRAINING blocks; code 0 has the least norm.
 
-    Fewer blocks than codes are made up with zero blocks.
+    No more different blocks than codes: they are the centroids, made up with zero blocks.
     """
     spark = blocks.sparkSession
     sample = blocks.select(F.col(column).cast("array<double>").alias("x")).orderBy(F.xxhash64(F.col(column)), column).limit(TRAINING)
-    lack = max(0, codes - sample.count())
-    if lack:
-        zero = spark.range(lack).select(F.array(*[F.lit(0.0)] * 64).alias("x"))
-        sample = sample.unionByName(zero)
-    model = KMeans(k=codes, maxIter=ROUNDS, seed=SEED, tol=1e-4).fit(sample.select(array_to_vector("x").alias("features")))
-    centroids = [c.tolist() for c in model.clusterCenters()]
+    different = [r["x"] for r in sample.distinct().limit(codes + 1).collect()]
+    if len(different) <= codes:
+        centroids = sorted(different) + [[0.0] * 64] * (codes - len(different))
+    else:
+        model = KMeans(k=codes, maxIter=ROUNDS, seed=SEED, tol=1e-4).fit(sample.select(array_to_vector("x").alias("features")))
+        centroids = [c.tolist() for c in model.clusterCenters()]
     least = min(range(len(centroids)), key=lambda i: sum(v * v for v in centroids[i]))
     centroids[0], centroids[least] = centroids[least], centroids[0]
     return spark.createDataFrame(list(enumerate(centroids)), "code int, centroid array<double>")
