@@ -155,10 +155,13 @@ class Items:
         pairs = Counter(zip(values[at].tolist(), value[at + shift].tolist(), strict=True))
         if not pairs:
             return 1.0
-        mine, other = defaultdict(int), defaultdict(int)
-        for (x, y), n in pairs.items():
-            mine[x], other[y] = max(mine[x], n), max(other[y], n)
-        return sum(n for (x, y), n in pairs.items() if n == mine[x] == other[y]) / sum(pairs.values())
+        mine, other, agreed = set(), set(), 0
+        for (x, y), n in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
+            if x not in mine and y not in other:
+                mine.add(x)
+                other.add(y)
+                agreed += n
+        return agreed / sum(pairs.values())
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
