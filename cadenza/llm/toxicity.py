@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a lower-cased word, or the first 4 or 5 characters of a longer word (so that an insult is
+A term is a lower-cased word, or the first characters (STEMS) of a longer word (so that an insult is
 known with endings that were never labelled), hashed to BUCKETS. A text's features are the terms it
 holds. Its logit is
 
@@ -21,10 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import dropped, written
+
 #: Labelled rows to learn from at most; hash buckets; factors of a term.
 ROWS, BUCKETS, FACTORS = 20_000, 1 << 22, 4
-#: Terms in fewer labelled texts, or never in a toxic one, aren't learned.
-LEAST_TEXTS = 4
+#: Terms in fewer labelled texts, or whose toxic texts are less than so many deviations above chance, aren't learned.
+LEAST_TEXTS, DEVIATIONS = 4, 6
+STEMS = (4, 5, 6, 7)
 #: Words a worker remembers at most; beyond it starts anew.
 WORDS = 500_000
 _CLEAN = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -38,7 +41,7 @@ def words(text: bytes | None) -> set[bytes]:
 def buckets(word: bytes) -> list[int]:
     """The buckets of a word's terms."""
     s = word.decode("utf-8", "replace")
-    terms = [word, *(b"^" + s[:n].encode() for n in (4, 5) if len(s) > n)]
+    terms = [word, *(b"^" + s[:n].encode() for n in STEMS if len(s) > n)]
     return [xxhash.xxh32_intdigest(t) % BUCKETS for t in terms]
 
 
@@ -76,26 +79,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.15, seed: int = 7) -> Model:
-    """Fit on bucket lists (sorted, distinct) and 0/1 labels."""
+def telling(n, hits, share):
+    """Whether terms in n texts, hits of them toxic, are so more often than chance would have it."""
+    return (n >= LEAST_TEXTS) & (hits >= 2) & (hits - n * share > DEVIATIONS * (n * share) ** 0.5)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs: int = 40, rate: float = 0.3, held: float = 0.5, seed: int = 7) -> Model:
+    """Fit on 0/1 labels and each text's terms (sorted, distinct, all of them among the sorted terms).
+
+    The bias stays at the labels' log-odds. Each step shows only a random part, held, of a text's terms,
+    so that one telling term must be enough where others are absent.
+    """
     y = labels.astype(np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
     size = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    flat = np.searchsorted(terms, np.concatenate(rows)) if len(rows) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
-    terms, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(index, y[owner], len(terms)) if len(flat) else np.zeros(0)
-    # a term is learned if its texts are toxic more often than chance would have it
-    telling = (counts >= LEAST_TEXTS) & (hits >= 2) & (hits - counts * share > 3 * np.sqrt(counts * share))
-    to = np.full(len(terms), -1)
-    to[telling] = np.arange(telling.sum())
-    index = to[index] if len(flat) else index
-    flat, owner = index[index >= 0], owner[index >= 0]
-    n, terms = int(telling.sum()), terms[telling]
+    n = len(terms)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
+    gw, gv = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)
     starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     for _ in range(epochs if n else 0):
         order = rng.permutation(len(rows))
@@ -103,13 +107,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: fl
             part = order[k : k + 512]
             at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
             own = np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
+            stay = rng.random(len(at)) < held
+            at, own = at[stay], own[stay]
             f = flat[at]
             sums = np.stack([np.bincount(own, v[f, c], len(part)) for c in range(FACTORS)], axis=1)
             squares = np.bincount(own, (v[f] ** 2).sum(axis=1), len(part))
             logit = bias + np.bincount(own, w[f], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[part]) / 32
-            gb += g.sum() ** 2
-            bias -= rate * g.sum() / np.sqrt(gb)
             dw = np.bincount(f, g[own], n)
             dv = np.stack([np.bincount(f, g[own] * (sums[own, c] - v[f, c]), n) for c in range(FACTORS)], axis=1)
             gw += dw**2
@@ -137,11 +141,34 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows
             of = [np.unique(np.array([b for w in words(t) for b in buckets(w)], np.int32)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of, pa.binary())], ["doc_id", "toxic", "terms"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [np.frombuffer(t, np.int32) for t in batch.column(1).to_pylist()]
+            bad = [t for t, y in zip(of, batch.column(0).to_pylist(), strict=True) if y]
+            term, n = np.unique(np.concatenate(of), return_counts=True)
+            hits = np.zeros(len(n), np.int64)
+            if bad:
+                of_bad, m = np.unique(np.concatenate(bad), return_counts=True)
+                hits[np.searchsorted(term, of_bad)] = m
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.array(hits)], ["term", "n", "hits"])
+
     # at most max_rows pairs of numbers are broadcast
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
-    got = chosen.mapInArrow(run, "doc_id long, toxic int, terms binary").collect()
+    held = written(chosen.mapInArrow(run, "doc_id long, toxic int, terms binary"), "labelled")
+    total = held.agg(F.count("*"), F.sum("toxic")).first()
+    share = min(max((total[1] or 0) / max(1, total[0]), 1e-4), 1 - 1e-4)
+    counts = held.select("toxic", "terms").mapInArrow(count, "term int, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    terms = np.array(sorted(r["term"] for r in counts.where(telling(F.col("n"), F.col("hits"), share)).select("term").collect()), np.int64)
+
+    def keep_telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [np.frombuffer(t, np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t[np.isin(t, terms)].tobytes() for t in of], pa.binary())], ["doc_id", "toxic", "terms"])
+
+    got = held.mapInArrow(keep_telling, "doc_id long, toxic int, terms binary").collect()
+    dropped(held)
     got.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got], np.array([r["toxic"] for r in got]))
+    return train([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got], np.array([r["toxic"] for r in got]), terms)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
