@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import rle
+from cadenza.operators import codec, rle
 from cadenza.plans.coding import _LEVELS, _levels
 from cadenza.plans.inputs import FRAMES, NUMBERED, frames, numbered
 from cadenza.plans.registry import query
+from cadenza.session import ship
 from cadenza.sources import container
 from cadenza.sources import frames as io
 from cadenza.streaming.online import folder
@@ -105,3 +106,25 @@ def export_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 0 AS video, frame_idx, CAST(sum(CASE WHEN (c % 16 - cx) ** 2 + (c // 16 - cy) ** 2 <= 9 THEN 200 ELSE 100 END) AS DOUBLE) AS total FROM p GROUP BY frame_idx""")
 def synthetic_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.synthetic(spark, 60).select("video", "frame_idx", F.aggregate("px", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def _video(spark: SparkSession, frames: int = 120, side: int = 64) -> DataFrame:
+    """A disc of one colour going round four times, as pixels."""
+    grey = io.synthetic(spark, frames, side, side, cycles=4, radius=6.0)
+    lit = F.transform("px", lambda v: F.when(v > 150, F.lit("C86450")).otherwise(F.lit("646464")))
+    return grey.select("video", "frame_idx", F.lit(side).alias("height"), F.lit(side).alias("width"), F.unhex(F.array_join(lit, "")).alias("pixels"))
+
+
+@query()
+def container_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic video through the whole codec: error of each frame, and the file's share of the raw bytes."""
+    ship(spark)
+    of = _video(spark)
+    coded = codec.encode(of, quality=30, warmup=60, shortest=20, width=3, valley=1.1)
+    path = folder(spark)
+    container.write(coded, path)
+    stored = container.files(spark, path)
+    decoded = codec.decode(stored, key="path")
+    share = stored.select((F.octet_length("content") / F.lit(120 * 64 * 64 * 3)).alias("share"))
+    errors = decoded.join(of.select("frame_idx", F.col("pixels").alias("raw")), "frame_idx").select("frame_idx", codec._change("pixels", "raw").alias("error"))
+    return errors.join(F.broadcast(share.limit(1))).select("frame_idx", F.round("error", 4).alias("error"), F.round("share", 5).alias("share"))
