@@ -46,19 +46,27 @@ _CLOSING = b".,;:!?)*#$%&|"
 NULL_ID = -(1 << 63)
 
 
+def _lower(word: bytes) -> bytes:
+    """Letters of Latin-1 in lower case, as every normaliser has them; other words as they are."""
+    if word.isalpha():
+        return word.lower()
+    s = word.decode()
+    return s.lower().encode() if s.isalpha() and max(s) <= "\xff" else word
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, for word vocabularies a word at a time.
 
     A vocabulary that drops white space, with words that end in a mark of their own, never joins
     characters across ASCII white space, and its special tokens hold none, so the ids of a text are
     those of its words in order. Closing punctuation after a letter or digit is a piece of its own in
-    such a vocabulary, and ASCII letters are lower-cased. Words repeat: the library sees what is new,
+    such a vocabulary, and letters are lower-cased. Words repeat: the library sees what is new,
     and a worker remembers the words of the last WORDS to 2 * WORDS different ones that it met.
     Other vocabularies get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -66,53 +74,51 @@ class Encoder:
         self.by_words = made["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and not any(
             t["lstrip"] or t["rstrip"] or t["content"].encode().split() != [t["content"].encode()] for t in made["added_tokens"]
         )
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _word_ids(self, words: list[bytes]) -> Iterator[bytes]:
-        """ASCII lower-case words are what the normaliser and splitter make of them: the merges alone are left."""
-        plain = [w.isalpha() and w.islower() for w in words]
-        rest = self._library([w for w, p in zip(words, plain, strict=True) if not p])
-        merge = self.tokenizer.model.tokenize
-        for w, p in zip(words, plain, strict=True):
-            yield np.array([t.id for t in merge(w.decode())], "<u4").tobytes() if p else next(rest)
-
-    def _library(self, texts: list[bytes]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + 4096]], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-    def _recall(self, words: set[bytes]) -> list[bytes]:
-        """Move the words that are known to the young; give the others."""
-        old, young, new = self.old, self.young, []
-        for w in words.difference(young):
-            if (ids := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = ids
-        return new
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.known = Known(self)
+
+    def whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of a new word: of what it is without closing punctuation and in lower case, and of the rest."""
+        core = word.rstrip(_CLOSING)
+        if len(core) < len(word) and (core[-1:].isalnum() or (core and core[-1] >= 0x80 and unicodedata.normalize("NFC", core.decode()).lower().isalpha())):
+            return self.known[core] + self.known[word[len(core) :]]
+        lower = _lower(word)
+        if lower != word:
+            return self.known[lower]
+        text = word.decode()
+        if text.isalpha() and text.islower() and max(text) <= "\xff":
+            # as the normaliser and splitter have it: bytes' stand-ins and merges are left
+            ids = [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.stand_in))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self.whole(word)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text its ids as little-endian u32."""
         if not self.by_words:
-            yield from self._library(texts)
+            yield from map(self.whole, texts)
             return
-        if len(self.young) > WORDS:
-            self.old, self.young = self.young, {}
-        split = [t.split() for t in texts]
-        young = self.young
-        cut = {}
-        for w in self._recall({w for words in split for w in words}):
-            core = w.rstrip(_CLOSING)
-            if len(core) < len(w) and not (core[-1:].isalnum() or (core and core[-1] >= 0x80 and unicodedata.normalize("NFC", core.decode()).lower().isalpha())):
-                core = w
-            cut[w] = (core.lower() if core.isalpha() else core), w[len(core) :]
-        fresh = self._recall({x for pair in cut.values() for x in pair if x})
-        young.update(zip(fresh, self._word_ids(fresh), strict=True))
-        for w, (core, closing) in cut.items():
-            young[w] = young[core] + young[closing] if closing else young[core]
-        for words in split:
-            yield b"".join(map(young.__getitem__, words))
+        for text in texts:
+            if len(self.known) > WORDS:
+                self.known = Known(self, self.known)
+            yield b"".join(map(self.known.__getitem__, text.split()))
+
+
+class Known(dict):
+    """The ids of words; a word that isn't there comes from the generation before, or else from the library."""
+
+    def __init__(self, encoder: Encoder, old: dict[bytes, bytes] | None = None):
+        super().__init__()
+        self.encoder, self.old = encoder, dict(old or ())
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        self[word] = ids = self.encoder.word(word) if ids is None else ids
+        return ids
 
 
 @cache
