@@ -5,9 +5,12 @@ is a plan of set-based steps (moments, energies, segmentation) around two coding
 independent: runs of 26 frames between intra frames in representative cycles, and single frames of
 other cycles against the decoded representative. Only the last step gathers a video: into its file.
 
-    frame    [u16 height, width, y0, x0, box height, box width, if boxed] u16 height, u16 width, u8 quality | zlib of run lengths
-    representative   u32 frames, u8 flags | each: u8 type, u32 size, frame
+    box              u16 height, width, y0, x0, box height, box width
+    frame            [box, if boxed] u16 height, u16 width, u8 quality | zlib of run lengths
+    frame of codes   u8 1 [box, if boxed] u8 quality, u16 height, u16 width, u32 blocks | zlib of a code for each block, channel by channel
+    representative   u32 frames, u8 flags | each: u8 type, u32 size, frame (flags without TEMPORAL: no type, all intra, in luma and colour differences)
     other cycle      u16 representative, u32 frames | each: u32 size, frame
+    codebook         u16 codes, u16 64 | half floats
 
 Whether frames are boxed is told by the flags, never guessed from the bytes. Beyond the end of its
 representative a cycle is coded against the background. The background is stored without loss.
@@ -28,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.functions.transform import basis, quant_table
+from cadenza.functions.transform import KB, KG, KR, basis, quant_table
 from cadenza.operators import cycles as seg
 from cadenza.operators.background import ABSOLUTE, FLOOR, SIGMA, WARMUP
 from cadenza.operators.prediction import RUN
@@ -79,37 +82,86 @@ def _tables(quality: int) -> list[np.ndarray]:
     return [np.array(quant_table(quality, luma=c == 0), np.float64) for c in range(3)]
 
 
-def encode_frame(residual: np.ndarray, mask: np.ndarray | None, quality: int, boxed: bool = True) -> bytes:
-    """A residual (height, width, 3) to bytes: masked, cropped to the foreground, padded to blocks, transformed."""
+_LUMA = np.array([KB, KG, KR])
+#: Rows: luma and the two colour differences of a blue, green, red pixel.
+_COLOUR = np.stack([_LUMA, (np.array([1, 0, 0]) - _LUMA) * (0.5 / (1 - KB)), (np.array([0, 0, 1]) - _LUMA) * (0.5 / (1 - KR))])
+
+
+def _cropped(residual: np.ndarray, mask: np.ndarray | None, boxed: bool) -> tuple[bytes, np.ndarray]:
+    """The box's header, and the masked residual within the box."""
     height, width = residual.shape[:2]
-    head = b""
     part = residual.astype(np.float64)
     if mask is not None:
         part = part * mask[:, :, None]
-    if boxed:
-        ys, xs = (np.flatnonzero(mask.any(axis=a)) if mask is not None else np.zeros(0, int) for a in (1, 0))
-        y0, y1 = (max(0, ys[0] - MARGIN), min(height, ys[-1] + MARGIN + 1)) if len(ys) else (0, height)
-        x0, x1 = (max(0, xs[0] - MARGIN), min(width, xs[-1] + MARGIN + 1)) if len(xs) else (0, width)
-        part = part[y0:y1, x0:x1]
-        head = struct.pack(">6H", height, width, y0, x0, y1 - y0, x1 - x0)
+    if not boxed:
+        return b"", part
+    ys, xs = (np.flatnonzero(mask.any(axis=a)) if mask is not None else np.zeros(0, int) for a in (1, 0))
+    y0, y1 = (max(0, ys[0] - MARGIN), min(height, ys[-1] + MARGIN + 1)) if len(ys) else (0, height)
+    x0, x1 = (max(0, xs[0] - MARGIN), min(width, xs[-1] + MARGIN + 1)) if len(xs) else (0, width)
+    return struct.pack(">6H", height, width, y0, x0, y1 - y0, x1 - x0), part[y0:y1, x0:x1]
+
+
+def _placed(part: np.ndarray, data: bytes, at: int | None) -> np.ndarray:
+    """A decoded box in its frame, in whole levels."""
+    h, w = part.shape[:2]
+    height, width, y0, x0 = struct.unpack_from(">4H", data, at) if at is not None else (h, w, 0, 0)
+    out = np.zeros((height, width, 3), np.int16)
+    out[y0 : y0 + h, x0 : x0 + w] = np.clip(part, -32768, 32767).astype(np.int16)
+    return out
+
+
+def _levels(part: np.ndarray, quality: int) -> list[np.ndarray]:
+    """The quantised blocks of each channel, padded with zeros."""
+    part = np.pad(part, ((0, -part.shape[0] % 8), (0, -part.shape[1] % 8), (0, 0)))
+    return [np.clip(np.rint(_blocks(part[:, :, c]) @ basis().T / t), -32767, 32767) for c, t in enumerate(_tables(quality))]
+
+
+def _restored(levels: list[np.ndarray], quality: int, h: int, w: int) -> np.ndarray:
+    planes = [_plane(x * t @ basis(), h + -h % 8, w + -w % 8) for x, t in zip(levels, _tables(quality), strict=True)]
+    return np.stack(planes, axis=-1)[:h, :w]
+
+
+def encode_frame(residual: np.ndarray, mask: np.ndarray | None, quality: int, boxed: bool = True, colour: bool = False) -> bytes:
+    """A residual (height, width, 3) to bytes: masked, cropped to the foreground, padded to blocks, transformed."""
+    head, part = _cropped(residual, mask, boxed)
     h, w = part.shape[:2]
-    part = np.pad(part, ((0, -h % 8), (0, -w % 8), (0, 0)))
-    levels = [_plane(np.rint(_blocks(part[:, :, c]) @ basis().T / t), *part.shape[:2]) for c, t in enumerate(_tables(quality))]
-    flat = np.clip(np.stack(levels, axis=-1), -32767, 32767).astype(np.int16).ravel()
+    levels = _levels(part @ _COLOUR.T if colour else part, quality)
+    flat = np.stack([_plane(x, h + -h % 8, w + -w % 8) for x in levels], axis=-1).astype(np.int16).ravel()
     return head + struct.pack(">HHB", h, w, quality) + zlib.compress(pack_levels(flat), 9)
 
 
-def decode_frame(data: bytes, boxed: bool = True) -> np.ndarray:
+def decode_frame(data: bytes, boxed: bool = True, colour: bool = False) -> np.ndarray:
     """The residual (height, width, 3) in whole levels, 0 outside the box."""
     at = 12 if boxed else 0
     h, w, quality = struct.unpack_from(">HHB", data, at)
-    height, width, y0, x0 = struct.unpack_from(">4H", data) if boxed else (h, w, 0, 0)
     h8, w8 = h + -h % 8, w + -w % 8
-    levels = unpack_levels(zlib.decompress(data[at + 5 :]), h8 * w8 * 3).reshape(h8, w8, 3)
-    planes = [_plane(_blocks(levels[:, :, c].astype(np.float64)) * t @ basis(), h8, w8) for c, t in enumerate(_tables(quality))]
-    out = np.zeros((height, width, 3), np.int16)
-    out[y0 : y0 + h, x0 : x0 + w] = np.clip(np.stack(planes, axis=-1)[:h, :w], -32768, 32767).astype(np.int16)
-    return out
+    flat = unpack_levels(zlib.decompress(data[at + 5 :]), h8 * w8 * 3).reshape(h8, w8, 3)
+    part = _restored([_blocks(flat[:, :, c].astype(np.float64)) for c in range(3)], quality, h, w)
+    return _placed(part @ np.linalg.inv(_COLOUR).T if colour else part, data, 0 if boxed else None)
+
+
+def encode_frame_vq(residual: np.ndarray, mask: np.ndarray | None, quality: int, book: np.ndarray, boxed: bool = True) -> bytes:
+    """A residual as the nearest code of each block of levels; book has at most 256 rows of 64."""
+    head, part = _cropped(residual, mask, boxed)
+    h, w = part.shape[:2]
+    levels = _levels(part, quality)
+    codes = [((book**2).sum(axis=1) - 2 * x @ book.T).argmin(axis=1).astype(np.uint8).tobytes() for x in levels]
+    return b"\x01" + head + struct.pack(">BHHI", quality, h, w, len(levels[0])) + zlib.compress(b"".join(codes), 9)
+
+
+def decode_frame_vq(data: bytes, book: np.ndarray, boxed: bool = True) -> np.ndarray:
+    at = 13 if boxed else 1
+    quality, h, w, n = struct.unpack_from(">BHHI", data, at)
+    codes = np.frombuffer(zlib.decompress(data[at + 9 :]), np.uint8).reshape(3, n)
+    return _placed(_restored([book[c] for c in codes], quality, h, w), data, 1 if boxed else None)
+
+
+def pack_codebook(book: np.ndarray) -> bytes:
+    return struct.pack(">HH", *book.shape) + book.astype("<f2").tobytes()
+
+
+def unpack_codebook(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f2", -1, 4).reshape(struct.unpack_from(">HH", data)).astype(np.float64)
 
 
 def _pixels(raw: bytes, height: int, width: int) -> np.ndarray:
@@ -171,8 +223,17 @@ def segment(frames: DataFrame, **limits) -> DataFrame:
     return seg.representatives(seg.cycles(signal, seg.boundaries(signal, **limits)))
 
 
-def encode(frames: DataFrame, quality: int = 25, fps: float = 30.0, warmup: int = WARMUP, boxed: bool = True, **limits) -> DataFrame:
-    """(video, content): a container file's bytes for each video. limits are those of cycles.boundaries()."""
+def encode(
+    frames: DataFrame, quality: int = 25, fps: float = 30.0, warmup: int = WARMUP, boxed: bool = True, temporal: bool = True,
+    codebook: np.ndarray | None = None, skip: float | None = None, **limits,
+) -> DataFrame:
+    """(video, content): a container file's bytes for each video. limits are those of cycles.boundaries().
+
+    temporal: predict frames of representatives, or code each against the background. codebook: code
+    representatives as its codes. skip: a cycle whose mean squared difference from its representative
+    is below it only repeats it.
+    """
+    book = None if codebook is None else unpack_codebook(pack_codebook(codebook))
     kind = frames.schema["video"].dataType.simpleString()
     model = moments(frames, warmup)
     cycles = segment(frames, **limits)
@@ -191,10 +252,16 @@ def encode(frames: DataFrame, quality: int = 25, fps: float = 30.0, warmup: int
         for px in pdf["pixels"]:
             frame = _pixels(px, *size)
             mask = _mask(frame, mean, std)
-            ref = plate if prev is None else prev
-            # a cell that was foreground a frame ago is coded too: it has just been uncovered
-            payloads.append(encode_frame(frame - ref, mask if before is None else mask | before, quality, boxed))
-            prev, before = np.clip(ref + decode_frame(payloads[-1], boxed), 0, 255), mask
+            ref = plate if prev is None or not temporal else prev
+            if not temporal:
+                payloads.append(encode_frame(frame - ref, mask, quality, boxed=False, colour=True))
+                residual = decode_frame(payloads[-1], boxed=False, colour=True)
+            else:
+                # a cell that was foreground a frame ago is coded too: it has just been uncovered
+                shown = mask if before is None else mask | before
+                payloads.append(encode_frame(frame - ref, shown, quality, boxed) if book is None else encode_frame_vq(frame - ref, shown, quality, book, boxed))
+                residual = decode_frame(payloads[-1], boxed) if book is None else decode_frame_vq(payloads[-1], book, boxed)
+            prev, before = np.clip(ref + residual, 0, 255), mask
             decoded.append(prev.astype(np.uint8).tobytes())
         return pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": (pdf["k"] % (RUN + 1) != 0).astype("int32"), "payload": payloads, "decoded": decoded})
 
@@ -204,39 +271,47 @@ def encode(frames: DataFrame, quality: int = 25, fps: float = 30.0, warmup: int
 
     def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            payloads = []
+            payloads, errors = [], []
             for r in pdf.itertuples():
                 size = (r.height, r.width)
                 frame = _pixels(r.pixels, *size)
                 mean, std = (np.frombuffer(b).reshape(*size, 3) for b in (r.mean, r.std))
                 ref = _pixels(r.plate if r.decoded is None else r.decoded, *size)
+                errors.append(float(((frame - ref).astype(np.float64) ** 2).mean()))
                 # where the reference shows foreground that the frame lacks is coded too
                 payloads.append(encode_frame(frame - ref, _mask(frame, mean, std) | _mask(ref, mean, std), quality, boxed))
-            yield pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": np.int32(1), "payload": payloads})
+            yield pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": np.int32(1), "payload": payloads, "error": errors})
 
     refs = coded.select("video", F.col("cycle_id").alias("canonical_cycle"), "k", "decoded")
     rest = rows.where("not is_canonical").join(refs, ["video", "canonical_cycle", "k"], "left")
-    deltas = rest.select("video", "cycle_id", "k", "height", "width", "pixels", "plate", "mean", "std", "decoded").mapInPandas(other, f"video {kind}, cycle_id int, k int, type int, payload binary")
-    pieces = coded.drop("decoded").unionByName(deltas).groupBy("video", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("k", "type", "payload"))).alias("f"))
+    deltas = rest.select("video", "cycle_id", "k", "height", "width", "pixels", "plate", "mean", "std", "decoded").mapInPandas(other, f"video {kind}, cycle_id int, k int, type int, payload binary, error double")
+    every = coded.drop("decoded").withColumn("error", F.lit(0.0)).unionByName(deltas)
+    pieces = every.groupBy("video", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("k", "type", "payload"))).alias("f"), F.avg("error").alias("error"))
     whole = pieces.join(cycles.select("video", "cycle_id", "is_canonical", "canonical_cycle"), ["video", "cycle_id"])
-    whole = whole.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("cycle_id", "is_canonical", "canonical_cycle", "f"))).alias("cycles")).join(model.select("video", "height", "width", "plate"), "video")
+    whole = whole.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("cycle_id", "is_canonical", "canonical_cycle", "f", "error"))).alias("cycles")).join(model.select("video", "height", "width", "plate"), "video")
 
     def file(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
             canon = {c["cycle_id"]: i for i, c in enumerate(c for c in r.cycles if c["is_canonical"])}
             chunks, others, order, n = [container.pack_chunk(1, r.plate)], [], [], sum(len(c["f"]) for c in r.cycles)
-            flags = container.TEMPORAL | (container.BBOX if boxed else 0)
+            flags = (container.TEMPORAL | (container.BBOX if boxed else 0) | (0 if book is None else container.VQ)) if temporal else 0
+            if book is not None:
+                chunks.append(container.pack_chunk(7, pack_codebook(book), compress=False))
             for c in r.cycles:
                 if c["is_canonical"]:
-                    body = struct.pack(">IB", len(c["f"]), flags) + b"".join(struct.pack(">BI", f["type"], len(f["payload"])) + f["payload"] for f in c["f"])
+                    heads = [struct.pack(">BI", f["type"], len(f["payload"])) if temporal else struct.pack(">I", len(f["payload"])) for f in c["f"]]
+                    body = struct.pack(">IB", len(c["f"]), flags) + b"".join(h + f["payload"] for h, f in zip(heads, c["f"], strict=True))
                     chunks.append(container.pack_chunk(2, body))
                     order.append([0, canon[c["cycle_id"]]])
+                elif skip is not None and c["error"] < skip:
+                    order.append([1, len(others)])
+                    others.append(container.pack_chunk(5, struct.pack(">HH", canon[c["canonical_cycle"]], len(c["f"]))))
                 else:
                     body = struct.pack(">HI", canon[c["canonical_cycle"]], len(c["f"])) + b"".join(struct.pack(">I", len(f["payload"])) + f["payload"] for f in c["f"])
                     order.append([1, len(others)])
                     others.append(container.pack_chunk(3, body))
-            meta = {"total_frames": n, "fps": fps, "n_cycles": len(r.cycles), "n_canonicals": len(canon), "quality": quality, "use_temporal": True, "use_bbox": boxed, "cycle_map": order}
+            meta = {"total_frames": n, "fps": fps, "n_cycles": len(r.cycles), "n_canonicals": len(canon), "quality": quality, "use_temporal": temporal, "use_bbox": boxed, "cycle_map": order}
             tail = container.pack_chunk(container.METADATA, json.dumps(meta).encode() + b"\n", compress=False)
             out.append(b"".join([container.pack_header(n, fps, r.width, r.height), *chunks, *others, tail]))
         return pd.DataFrame({"video": pdf["video"], "content": out})
@@ -251,17 +326,25 @@ def decode_content(content: bytes, lenient: bool = False) -> Iterator[np.ndarray
     meta = next((json.loads(c[4]) for c in chunks if c[1] == container.METADATA), {})
     plate = next((_pixels(c[4], height, width) for c in chunks if c[1] == 1), np.zeros((height, width, 3), np.int16))
     boxed = bool(meta.get("use_bbox", True))
+    book = next((unpack_codebook(c[4]) for c in chunks if c[1] == 7), None)
     canon: list[list[np.ndarray]] = []
     for c in chunks:
         if c[1] == 2:
             n, flags = struct.unpack_from(">IB", c[4])
             at, prev, frames = 5, plate, []
             for _ in range(n):
-                kind, size = struct.unpack_from(">BI", c[4], at)
-                residual = decode_frame(c[4][at + 5 : at + 5 + size], bool(flags & container.BBOX))
+                kind, size = struct.unpack_from(">BI", c[4], at) if flags & container.TEMPORAL else (0, *struct.unpack_from(">I", c[4], at))
+                at += 5 if flags & container.TEMPORAL else 4
+                data = c[4][at : at + size]
+                at += size
+                if not flags & container.TEMPORAL:
+                    residual = decode_frame(data, boxed=False, colour=True)
+                elif flags & container.VQ:
+                    residual = decode_frame_vq(data, book, bool(flags & container.BBOX))
+                else:
+                    residual = decode_frame(data, bool(flags & container.BBOX))
                 prev = np.clip((plate if kind == 0 else prev) + residual, 0, 255)
                 frames.append(prev)
-                at += 5 + size
             canon.append(frames)
 
     def other(kind: int, body: bytes) -> Iterator[np.ndarray]:

@@ -46,3 +46,31 @@ def test_videos_round_trip(spark, tmp_path):
     assert len(sizes) == 2 and sum(sizes) * 5 < 100 * 32 * 32 * 3
     meta = container.metadata(container.chunks(container.files(spark, f"file://{tmp_path}/v"))).collect()
     assert sorted(r.meta.total_frames for r in meta) == [40, 60] and all(r.meta.n_cycles == len(r.meta.cycle_map) for r in meta)
+
+
+@pytest.mark.parametrize("options", [{"temporal": False}, {"boxed": False}, {"skip": 5000.0}, {"codebook": True}])
+def test_other_modes_round_trip(spark, options):
+    of = _video(spark, 60, 32)
+    raw = {r.frame_idx: np.frombuffer(r.pixels, np.uint8) for r in of.collect()}
+    if "codebook" in options:
+        rng = np.random.default_rng(0)
+        options = {"codebook": np.concatenate([np.zeros((1, 64)), rng.normal(0, 3, (15, 64)).round()])}
+    coded = codec.encode(of, quality=75, warmup=60, shortest=10, width=2, valley=1.2, **options)
+    got = {r.frame_idx: np.frombuffer(r.pixels, np.uint8) for r in codec.decode(coded).collect()}
+    kinds = {c[1] for c in container.parse_chunks(bytes(coded.first().content))}
+    assert (7 in kinds) == ("codebook" in options) and (5 in kinds or "skip" not in options)
+    assert np.mean([psnr(raw[k], got[k]) for k in got]) > (10 if "codebook" in options else 25)
+    assert set(got) == set(raw) or "skip" in options
+
+
+def test_codebook_and_coded_frames():
+    rng = np.random.default_rng(1)
+    book = np.concatenate([np.zeros((1, 64)), rng.integers(-20, 20, (30, 64))])
+    assert np.array_equal(codec.unpack_codebook(codec.pack_codebook(book)), book)
+    # a residual that is made of codes comes back as good as the transform lets it
+    levels = [book[rng.integers(0, 31, 4)] for _ in range(3)]
+    residual = codec._restored(levels, 50, 16, 16)
+    mask = np.ones((16, 16), bool)
+    for boxed in (True, False):
+        got = codec.decode_frame_vq(codec.encode_frame_vq(residual, mask, 50, book, boxed), book, boxed)
+        assert got.shape == (16, 16, 3) and np.abs(got - residual).max() <= 1
