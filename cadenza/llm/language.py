@@ -158,8 +158,11 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
     four new columns replace columns of those names; only text is read.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score", "n_letters", "phrase_rate")]
-    rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    shape = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("n_letters", "long").add("phrase_rate", "double")
+    # a text that is kept anyway is sent once
+    own = "text" in kept and dict(docs.dtypes)["text"] == "string"
+    rows = docs.select(*kept) if own else docs.select(*kept, F.col("text").cast("string").alias("_text"))
+    at = kept.index("text") if own else len(kept)
+    shape = rows.select(*rows.columns[: len(kept)]).schema.add("lang_pred", "string").add("score", "double").add("n_letters", "long").add("phrase_rate", "double")
     key, names = model.key(), list(model.samples)
     nats = np.log([max(2, len(t)) for t in model.samples.values()])
     shared = docs.sparkSession.sparkContext.broadcast(key)
@@ -170,7 +173,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
                 coded, letters = [], []
-                for t in batch.column(batch.num_columns - 1):
+                for t in batch.column(at):
                     c = characters(t.as_py() or "")
                     letters.append(int(np.count_nonzero(c)))
                     coded.append(to[c] if letters[-1] and names else to[:0])
@@ -186,8 +189,8 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
                 else:
                     share, rate, lang = np.zeros(len(size)), np.ones(len(size)), ["und"] * len(size)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(letters, pa.int64()), pa.array(np.where(known, rate, 1.0))],
-                    [*(f.name for f in shape.fields[: len(kept)]), "lang_pred", "score", "n_letters", "phrase_rate"],
+                    [*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(letters, pa.int64()), pa.array(np.where(known, rate, 1.0))],
+                    [*kept, "lang_pred", "score", "n_letters", "phrase_rate"],
                 )
 
     return rows.mapInArrow(run, shape)
