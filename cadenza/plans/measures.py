@@ -36,7 +36,7 @@ def quat_mul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields(_quats(spark, sf_dir).withColumn("p", p), **{c: F.col(f"p.{c}") for c in "xyzw"})
 
 
-@query(f"WITH {_QUATS} SELECT {_ID}, round(-x, 6) + 0.0 AS x, round(-y, 6) + 0.0 AS y, round(-z, 6) + 0.0 AS z, round(w, 6) + 0.0 AS w, 1.0 AS unit FROM q")
+@query(f"WITH {_QUATS} SELECT {_ID}, round(-x, 6) + 0.0 AS x, round(-y, 6) + 0.0 AS y, round(-z, 6) + 0.0 AS z, round(w, 6) + 0.0 AS w, CAST(1 AS DOUBLE) AS unit FROM q")
 def quat_conjugate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse, and the scalar part of the product with it."""
     c = _quats(spark, sf_dir).withColumn("c", imu.conjugate(F.col("q")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -59,4 +60,4 @@ def test_entry_without_the_corpus_operators(tmp_path):
     (tmp_path / "cadenza").symlink_to(root / "cadenza")
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
     code = "import sys; sys.modules['cadenza.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
