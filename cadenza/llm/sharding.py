@@ -9,6 +9,10 @@ hash below, so that a cut can fall between groups that are equal in the dimensio
 Medians are found for all nodes of a level at once by histograms of 1,024 bins, refined about the
 cut until the bin is a small part of a shard. A driver sees a thousand sums for each node, never a
 list of groups; each pass is a sum over a narrow table.
+
+A group of copies can weigh as much as a shard. Groups of HEAVY of a shard or more, of which there
+are at most shards / HEAVY, are dealt first, the heaviest to the lightest shard; the tree then deals
+the others in proportion to the room that each shard has left.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ BINS, VALUE_BITS, HASH_BITS = 10, 20, 40
 TOP = 1 << (VALUE_BITS + HASH_BITS)
 #: A cut is fine enough where the bin about it weighs this part of a shard.
 TOLERANCE = 0.002
+#: Groups of this part of a shard are dealt before the tree.
+HEAVY = 0.02
 ROWS_IN_BUCKET = 200_000
 DIMENSIONS = 4
 
@@ -55,8 +61,23 @@ def _case(of: Column, values: dict[int, Column]) -> Column:
     return out
 
 
-def tree(groups: DataFrame, shards: int) -> Node:
-    """The k-d tree of groups (c0 .. c3, weight)."""
+def deal(heavy: list[int], rest: int, shards: int) -> tuple[list[int], list[float]]:
+    """For heavy weights, in descending order, their shards; and the room of each shard for the rest."""
+    sums, to = [0] * shards, []
+    for w in heavy:
+        to.append(sums.index(min(sums)))
+        sums[to[-1]] += w
+    level, below = 0.0, sorted(sums)
+    for n in range(1, shards + 1):  # the rest fills the n lightest shards to one level
+        level = (rest + sum(below[:n])) / n
+        if n == shards or level <= below[n]:
+            break
+    return to, [max(0.0, level - s) for s in sums]
+
+
+def tree(groups: DataFrame, room: list[float]) -> Node:
+    """The k-d tree of groups (c0 .. c3, weight) over shards with so much room."""
+    shards = len(room)
     root = Node(0, shards)
     total = groups.agg(F.sum("weight")).first()[0] or 0
     while wide := [n for n in root.leaves() if n.shards > 1]:
@@ -80,7 +101,8 @@ def tree(groups: DataFrame, shards: int) -> Node:
                 found.setdefault(r["node"], []).append((r["bin"], r["weight"]))
             for k, s in list(seek.items()):
                 n = by_first[k]
-                goal = boxes[k]["weight"] * (n.shards // 2) / n.shards
+                mine = room[n.first : n.first + n.shards]
+                goal = boxes[k]["weight"] * sum(mine[: n.shards // 2]) / max(sum(mine), 1e-9)
                 before = s[2]
                 for b, w in sorted(found[k]):
                     if before + w >= goal:
@@ -134,7 +156,15 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         whole.select(*key, "weight", *((F.shiftleft(_bits(F.col(f"d{d}"), ranges[f"min{d}"], ranges[f"max{d}"]), HASH_BITS) + low).alias(f"c{d}") for d in range(DIMENSIONS))),
         "coded",
     )
-    named = coded.select(*key, tree(coded, shards).shard().cast("int").alias("shard"))
+    total = coded.agg(F.sum("weight")).first()[0] or 0
+    limit = max(1.0, HEAVY * total / shards)
+    heavy = coded.where(F.col("weight") >= limit).select("weight", *key).orderBy(F.desc("weight"), *key).collect()
+    to, room = deal([r["weight"] for r in heavy], total - sum(r["weight"] for r in heavy), shards)
+    light = coded.where(F.col("weight") < limit)
+    named = light.select(*key, tree(light, room).shard().cast("int").alias("shard"))
+    if heavy:
+        rows_of = [(*(r[c] for c in key), t) for r, t in zip(heavy, to, strict=True)]
+        named = named.unionByName(rows.sparkSession.createDataFrame(rows_of, "h long, text_crc32 long, size long, shard int"))
     placed = rows.select("doc_id", *key).join(named, key)
     buckets = -(-max(1, rows.count()) // ROWS_IN_BUCKET)
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
