@@ -7,8 +7,9 @@ holds. Its logit is
     w0 + sum_i w_i + sum_{i<j} <v_i, v_j>
 
 where the pairwise part learns what only stands together, such as an insult and a mention of a
-group. Training is AdaGrad with a soft threshold, which leaves all but telling terms at exactly
-zero: the model is a short list of buckets, and only those are looked up when scoring.
+group. Training sees all terms of the labelled sample. It is AdaGrad with soft thresholds, which leave
+all but telling terms at exactly zero: the model is a short list of buckets, and only those are looked
+up when scoring.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from cadenza.llm.common import dropped, written
 
 #: Labelled rows to learn from at most; hash buckets; factors of a term.
 ROWS, BUCKETS, FACTORS = 20_000, 1 << 22, 4
-#: Terms in fewer labelled texts, or whose toxic texts are less than so many deviations above chance, aren't learned.
-LEAST_TEXTS, DEVIATIONS = 4, 6
+#: What each pass over the labelled rows takes from the size of a weight, and of a term's factors.
+LESS_WEIGHT, LESS_FACTORS = 0.02, 0.005
 STEMS = (4, 5, 6, 7)
 #: Words a worker remembers at most; beyond it starts anew.
 WORDS = 500_000
@@ -79,56 +80,76 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def telling(n, hits, share):
-    """Whether terms in n texts, hits of them toxic, are so more often than chance would have it."""
-    return (n >= LEAST_TEXTS) & (hits >= 2) & (hits - n * share > DEVIATIONS * (n * share) ** 0.5)
-
-
 def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs: int = 40, rate: float = 0.3, held: float = 0.5, seed: int = 7) -> Model:
     """Fit on 0/1 labels and each text's terms (sorted, distinct, all of them among the sorted terms).
 
     The bias stays at the labels' log-odds. Each step shows only a random part, held, of a text's terms,
-    so that one telling term must be enough where others are absent.
+    so that one telling term must be enough where others are absent. No term is left out beforehand; the
+    model lists those that don't end at exactly zero.
     """
     y = labels.astype(np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
-    size = np.array([len(r) for r in rows], np.int64)
-    flat = np.searchsorted(terms, np.concatenate(rows)) if len(rows) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), size)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    flat = np.empty(starts[-1], np.int32)
+    for r, a, z in zip(rows, starts[:-1], starts[1:], strict=True):
+        flat[a:z] = np.searchsorted(terms, r)
     n = len(terms)
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
-    gw, gv = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)
-    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    w, v = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32)
+    gw, gv = np.full(n, 0.01, np.float32), np.full((n, FACTORS), 0.1, np.float32)
+    done, place, seen = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+    step, steps = 0, max(1, -(-len(rows) // 512))
+
+    def less(w, v, k):
+        """Weights and factors after k steps' thresholds."""
+        size = np.maximum(1e-12, np.sqrt((v**2).sum(axis=1)))
+        return np.sign(w) * np.maximum(0, np.abs(w) - k * (LESS_WEIGHT / steps)), v * np.maximum(0, 1 - k * (LESS_FACTORS / steps) / size)[:, None]
+
     for _ in range(epochs if n else 0):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), 512):
             part = order[k : k + 512]
-            at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
+            f = np.concatenate([flat[starts[i] : starts[i + 1]] for i in part])
             own = np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
-            stay = rng.random(len(at)) < held
-            at, own = at[stay], own[stay]
-            f = flat[at]
-            sums = np.stack([np.bincount(own, v[f, c], len(part)) for c in range(FACTORS)], axis=1)
-            squares = np.bincount(own, (v[f] ** 2).sum(axis=1), len(part))
-            logit = bias + np.bincount(own, w[f], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+            stay = rng.random(len(f), np.float32) < held
+            f, own = f[stay], own[stay]
+            # only these texts' terms are read and changed; the thresholds that they missed are made up for
+            seen[f] = True
+            u = np.flatnonzero(seen)
+            seen[u] = False
+            place[u] = np.arange(len(u))
+            f = place[f]
+            wu, vu = less(w[u], v[u], step - done[u])
+            size = np.bincount(own, minlength=len(part))
+            first, some = (np.cumsum(size) - size)[size > 0], size > 0
+
+            def total(x):
+                out = np.zeros(len(part))
+                if len(f):
+                    out[some] = np.add.reduceat(x[f], first)
+                return out
+
+            sums = np.stack([total(np.ascontiguousarray(x)) for x in vu.T], axis=1)
+            logit = bias + total(wu) + 0.5 * ((sums**2).sum(axis=1) - total((vu**2).sum(axis=1)))
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[part]) / 32
-            dw = np.bincount(f, g[own], n)
-            dv = np.stack([np.bincount(f, g[own] * (sums[own, c] - v[f, c]), n) for c in range(FACTORS)], axis=1)
-            gw += dw**2
-            gv += dv**2
-            w -= rate * dw / np.sqrt(gw)
-            w = np.sign(w) * np.maximum(0, np.abs(w) - 2e-4)
-            v -= 0.2 * rate * dv / np.sqrt(gv)
-            v *= 0.999
-    return Model(bias, terms, w, v)
+            dw = np.bincount(f, g[own], len(u))
+            dv = np.stack([np.bincount(f, (g * sums[:, c])[own], len(u)) for c in range(FACTORS)], axis=1) - vu * dw[:, None]
+            gw[u] += dw**2
+            gv[u] += dv**2
+            w[u], v[u] = less(wu - rate * dw / np.sqrt(gw[u]), vu - 0.2 * rate * dv / np.sqrt(gv[u]), 1)
+            step += 1
+            done[u] = step
+    w, v = less(w, v, step - done)
+    told = (w != 0) | (v != 0).any(axis=1)
+    return Model(bias, terms[told], w[told].astype(np.float64), v[told].astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = ROWS) -> Model:
     """Learn from labels (doc_id, toxic) of documents (doc_id, text) whose doc_id keep selects.
 
-    The sample is bounded: the max_rows labelled doc_id that come first by a hash. Rows without a
+    The sample is bounded: the max_rows labelled doc_id that come first by a hash. The driver gets the
+    bucket numbers of the sample's terms, at most BUCKETS different ones. Rows without a
     label are left out; several labels of one doc_id count as the largest.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -141,34 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows
             of = [np.unique(np.array([b for w in words(t) for b in buckets(w)], np.int32)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of, pa.binary())], ["doc_id", "toxic", "terms"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = [np.frombuffer(t, np.int32) for t in batch.column(1).to_pylist()]
-            bad = [t for t, y in zip(of, batch.column(0).to_pylist(), strict=True) if y]
-            term, n = np.unique(np.concatenate(of), return_counts=True)
-            hits = np.zeros(len(n), np.int64)
-            if bad:
-                of_bad, m = np.unique(np.concatenate(bad), return_counts=True)
-                hits[np.searchsorted(term, of_bad)] = m
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.array(hits)], ["term", "n", "hits"])
-
     # at most max_rows pairs of numbers are broadcast
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
     held = written(chosen.mapInArrow(run, "doc_id long, toxic int, terms binary"), "labelled")
-    total = held.agg(F.count("*"), F.sum("toxic")).first()
-    share = min(max((total[1] or 0) / max(1, total[0]), 1e-4), 1 - 1e-4)
-    counts = held.select("toxic", "terms").mapInArrow(count, "term int, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    terms = np.array(sorted(r["term"] for r in counts.where(telling(F.col("n"), F.col("hits"), share)).select("term").collect()), np.int64)
-
-    def keep_telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = [np.frombuffer(t, np.int32) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t[np.isin(t, terms)].tobytes() for t in of], pa.binary())], ["doc_id", "toxic", "terms"])
-
-    got = held.mapInArrow(keep_telling, "doc_id long, toxic int, terms binary").collect()
+    got = [(r["doc_id"], r["terms"], r["toxic"]) for r in held.toLocalIterator()]
     dropped(held)
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got], np.array([r["toxic"] for r in got]), terms)
+    got.sort(key=lambda r: (r[0], bytes(r[1])))
+    of = [np.frombuffer(r[1], np.int32) for r in got]
+    seen = np.zeros(BUCKETS, bool)
+    for t in of:
+        seen[t] = True
+    return train(of, np.array([r[2] for r in got]), np.flatnonzero(seen).astype(np.int32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

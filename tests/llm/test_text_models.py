@@ -97,6 +97,25 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.score(df.where("false"), model).count() == 0
 
 
+def test_toxicity_learns_pairs_and_rare_words_from_texts(spark):
+    """Of balanced labels: two words that are toxic only together, one in a few toxic texts only, and one in clean texts only."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for k in range(3000):
+        held = {0: ["grumf", "plonk"], 1: ["grumf"], 2: ["blarg"], 3: ["plonk"]}[k % 4] + [f"n{x}" for x in rng.integers(0, 300, 12)]
+        bad = 1 - k % 2
+        if k % 60 == 0:
+            held = ["zarky", *held[2:]]
+        elif k % 10 == 1:
+            held.append("kindly")
+        rows.append((k, " ".join(held), "en", "s"))
+        labels.append((k, bad))
+    df = docs(spark, rows + [(9000, "grumf plonk", "en", "s"), (9001, "grumf", "en", "s"), (9002, "plonk", "en", "s"), (9003, "zarky", "en", "s"), (9004, "kindly", "en", "s")])
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 9000"), model).collect()}
+    assert min(got[9000], got[9003]) >= 0.7 > max(got[9001], got[9002]) and got[9004] < 0.4
+
+
 def test_toxicity_held_out(spark):
     out = queries.op10_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     caught = [r.toxic for r in out if r.predicted]
