@@ -4,9 +4,9 @@ Words become template tokens: a number is a typed placeholder, so is a unit that
 is a name (a capitalised word that doesn't begin a sentence or line); any other word is itself, lower-cased,
 without punctuation. Windows of WINDOW template tokens are hashed. A document matches an item where
 a share of at least `similarity` of the item's windows is found in it, and where the slots agree: on
-the alignment with most matches, equal slot values of the item stand for equal values in the
+an alignment, equal slot values of the item stand for equal values in the
 document and the other way round, so that a question with other numbers or names is caught and a
-text that is only built alike is not.
+text that is only built alike is not. All alignments that hold enough of the item's windows are tried.
 
 The benchmark is the build side of the hash join: its templates, in blocks of bounded size, are sent
 to the tasks that read the documents. Documents are not shuffled; a larger benchmark takes more
@@ -141,7 +141,12 @@ class Items:
         for i, seen in found.items():
             theirs, values, slot, n = self.parts[i]
             if len(seen) >= similarity * n:
-                agreed = max(self._agreement(theirs, values, slot, token, value, s) for s, _ in shifts[i].most_common(8))
+                agreed = 0.0
+                for k, (shift, hits) in enumerate(shifts[i].most_common()):
+                    # beyond the first few: alignments that hold enough of the item, until one agrees
+                    if k >= 8 and (hits < similarity * n or agreed >= similarity):
+                        break
+                    agreed = max(agreed, self._agreement(theirs, values, slot, token, value, shift))
                 if agreed >= similarity:
                     out.append((self.item[i], len(seen), len(seen) / n, agreed))
         return out

@@ -152,6 +152,15 @@ def test_slots_must_agree():
     assert items.matches(fits, 0.8)[0][3] == 1.0 and not items.matches(jumbled, 0.8)
 
 
+def test_all_alignments_are_tried():
+    """A copy after a dozen sentences that are only built alike."""
+    item = b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert."
+    jumbled = b"Then Carl gave Dora and Egon told Finn that Gina owes Hans for what Ida took of Jan."
+    items = decontamination.Items([(1, item)])
+    assert not items.matches(b" ".join([jumbled] * 12), 0.8)
+    assert items.matches(b" ".join([*[jumbled] * 12, item]), 0.8)[0][3] == 1.0
+
+
 def test_leaks_equal_brute_force(spark):
     """On the tables, where items are passed on word for word."""
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet").collect() for t in ("documents", "benchmark"))
