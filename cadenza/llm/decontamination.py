@@ -2,7 +2,8 @@
 
 Words become template tokens: a number is a typed placeholder, so is a unit that follows one, and so
 is a name (a capitalised word that doesn't begin a sentence or line); any other word is itself, lower-cased,
-without punctuation. Windows of WINDOW template tokens are hashed. A document matches an item where
+without punctuation. Because names are told by their capitals, which a copy may change, items are also
+searched with names as plain words. Windows of WINDOW template tokens are hashed. A document matches an item where
 a share of at least `similarity` of the item's windows is found in it, and where the slots agree: on
 an alignment, equal slot values of the item stand for equal values in the
 document and the other way round, so that a question with other numbers or names is caught and a
@@ -72,6 +73,10 @@ class Words:
 
     def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template tokens of a text, the hashes of what they stand for, and whether they are slots."""
+        return self.both(text)[0]
+
+    def both(self, text: bytes | None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+        """tokens(), and the same with names as plain words."""
         words = (text or b"").replace(b"\n", b" . ").split()  # a line's end ends a sentence
         if len(self.at) > WORDS:
             self.at.clear()
@@ -89,7 +94,7 @@ class Words:
         unit[1:] = (flags[1:] & _IS_UNIT != 0) & number[:-1]
         name = (flags & _CAPITAL != 0) & ~ends & ~unit
         token = np.where(number, np.uint64(NUMBER), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), value)))
-        return token, value, number | unit | name
+        return (token, value, number | unit | name), (np.where(name, value, token), value, number | unit)
 
 
 def windows(token: np.ndarray) -> np.ndarray:
@@ -105,13 +110,14 @@ def windows(token: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items, ready to be looked up."""
+    """A block of benchmark items, ready to be looked up; plain: with names as plain words."""
 
-    def __init__(self, texts: list[tuple[int, bytes]]):
-        self.words = Words()
+    def __init__(self, texts: list[tuple[int, bytes]], words: Words | None = None, plain: bool = False):
+        self.words = words or Words()
         self.item, self.parts, keys, who, where = [], [], [], [], []
-        for item, text in texts:
-            token, value, slot = self.words.tokens(text)
+        self.row = []
+        for row, (item, text) in enumerate(texts):
+            token, value, slot = self.words.both(text)[plain]
             w = windows(token)
             if len(w):
                 self.parts.append((token, value, slot, len(np.unique(w))))
@@ -119,25 +125,30 @@ class Items:
                 who.append(np.full(len(w), len(self.item)))
                 where.append(np.arange(len(w)))
                 self.item.append(item)
+                self.row.append(row)
         keys, who, where = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (who, np.int64), (where, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.who, self.where = keys[order], who[order], where[order]
 
     def matches(self, text: bytes | None, similarity: float) -> list[tuple[int, int, float, float]]:
         """(item_id, windows found, similarity, slot agreement) of the items that a text holds."""
-        token, value, _ = self.words.tokens(text)
+        return [(self.item[i], *m) for i, m in self.search(self.words.tokens(text), similarity).items()]
+
+    def search(self, parts: tuple[np.ndarray, np.ndarray, np.ndarray], similarity: float) -> dict[int, tuple[int, float, float]]:
+        """matches() of a text's tokens, by the item's number in the block."""
+        token, value, _ = parts
         w = windows(token)
         a, z = np.searchsorted(self.keys, w), np.searchsorted(self.keys, w, "right")
         hit = np.nonzero(z > a)[0]
         if not len(hit):
-            return []
+            return {}
         found: dict[int, set[int]] = defaultdict(set)
         shifts: dict[int, Counter] = defaultdict(Counter)
         for d in hit.tolist():
             for k in range(a[d], z[d]):
                 found[self.who[k]].add(int(self.keys[k]))
                 shifts[self.who[k]][d - int(self.where[k])] += 1
-        out = []
+        out = {}
         for i, seen in found.items():
             theirs, values, slot, n = self.parts[i]
             if len(seen) >= similarity * n:
@@ -148,7 +159,7 @@ class Items:
                         break
                     agreed = max(agreed, self._agreement(theirs, values, slot, token, value, shift))
                 if agreed >= similarity:
-                    out.append((self.item[i], len(seen), len(seen) / n, agreed))
+                    out[i] = (len(seen), len(seen) / n, agreed)
         return out
 
     @staticmethod
@@ -169,6 +180,22 @@ class Items:
         return agreed / sum(pairs.values())
 
 
+class Block:
+    """Items with names as slots and, for copies in other case, as plain words."""
+
+    def __init__(self, texts: list[tuple[int, bytes]]):
+        self.items = Items(texts)
+        self.plain = Items(texts, self.items.words, plain=True)
+
+    def matches(self, text: bytes | None, similarity: float) -> list[tuple[int, int, float, float]]:
+        """Items.matches(), and what is found with names as plain words only."""
+        slots, plain = self.items.words.both(text)
+        found = {self.items.row[i]: (self.items.item[i], *m) for i, m in self.items.search(slots, similarity).items()}
+        for i, m in self.plain.search(plain, similarity).items():
+            found.setdefault(self.plain.row[i], (self.plain.item[i], *m))
+        return list(found.values())
+
+
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
     """The items (item_id, text) in blocks of at most limit words, streamed; a longer item is its own block."""
     held, n = [], 0
@@ -198,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         shared = docs.sparkSession.sparkContext.broadcast(sorted(items))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(shared.value)
+            block = Block(shared.value)
             for batch in batches:
                 out = [
                     (doc_id, *m)

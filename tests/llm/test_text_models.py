@@ -152,6 +152,13 @@ def test_slots_must_agree():
     assert items.matches(fits, 0.8)[0][3] == 1.0 and not items.matches(jumbled, 0.8)
 
 
+def test_copies_in_other_case_are_caught(spark):
+    benchmark = spark.createDataFrame([(2, OTHER), (3, "Say hello to Anna"), (2, OTHER)], "item_id long, text string")
+    df = docs(spark, [(7, OTHER.upper(), None, None), (8, f"so {OTHER.lower()} yes", None, None), (9, "say hello to anna", None, None)])
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.leaks(df, benchmark).collect())
+    assert got == [(7, 2), (7, 2), (8, 2), (8, 2), (9, 3)]
+
+
 def test_all_alignments_are_tried():
     """A copy after a dozen sentences that are only built alike."""
     item = b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert."
