@@ -97,13 +97,13 @@ class Words:
         return (token, value, number | unit | name), (np.where(name, value, token), value, number | unit)
 
 
-def windows(token: np.ndarray) -> np.ndarray:
-    """Hashes of all windows of WINDOW tokens; fewer tokens are one window."""
+def windows(token: np.ndarray, length: int = WINDOW) -> np.ndarray:
+    """Hashes of all windows of length tokens; fewer tokens are one window."""
     if not len(token):
         return np.zeros(0, np.uint64)
-    n = max(1, len(token) - WINDOW + 1)
-    out = np.full(n, len(token) if len(token) < WINDOW else WINDOW, np.uint64)
-    for k in range(min(WINDOW, len(token))):
+    n = max(1, len(token) - length + 1)
+    out = np.full(n, min(len(token), length), np.uint64)
+    for k in range(min(length, len(token))):
         out = (out + token[k : k + n] * _POWERS[k]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
     return out
@@ -129,6 +129,8 @@ class Items:
         keys, who, where = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (who, np.int64), (where, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.who, self.where = keys[order], who[order], where[order]
+        #: lengths of the items that are shorter than a window
+        self.short = sorted({len(p[0]) for p in self.parts if len(p[0]) < WINDOW})
 
     def matches(self, text: bytes | None, similarity: float) -> list[tuple[int, int, float, float]]:
         """(item_id, windows found, similarity, slot agreement) of the items that a text holds."""
@@ -138,6 +140,10 @@ class Items:
         """matches() of a text's tokens, by the item's number in the block."""
         token, value, _ = parts
         w = windows(token)
+        where = np.arange(len(w))
+        if self.short and len(token):
+            more = [windows(token, n) for n in self.short if n < min(len(token), WINDOW)]
+            w, where = np.concatenate([w, *more]), np.concatenate([where, *(np.arange(len(x)) for x in more)])
         a, z = np.searchsorted(self.keys, w), np.searchsorted(self.keys, w, "right")
         hit = np.nonzero(z > a)[0]
         if not len(hit):
@@ -147,10 +153,12 @@ class Items:
         for d in hit.tolist():
             for k in range(a[d], z[d]):
                 found[self.who[k]].add(int(self.keys[k]))
-                shifts[self.who[k]][d - int(self.where[k])] += 1
+                shifts[self.who[k]][int(where[d]) - int(self.where[k])] += 1
         out = {}
         for i, seen in found.items():
             theirs, values, slot, n = self.parts[i]
+            if len(theirs) < WINDOW and slot.all() and not any(np.array_equal(values, value[s : s + len(values)]) for s in shifts[i]):
+                continue
             if len(seen) >= similarity * n:
                 agreed = 0.0
                 for k, (shift, hits) in enumerate(shifts[i].most_common()):

@@ -159,6 +159,16 @@ def test_copies_in_other_case_are_caught(spark):
     assert got == [(7, 2), (7, 2), (8, 2), (8, 2), (9, 3)]
 
 
+def test_short_items_are_found_inside_texts():
+    block = decontamination.Block([(1, b"What is 12 + 7 = ?"), (2, b"Name three large green birds"), (3, b"12 7"), (4, b"Solve this quickly")])
+    found = lambda t: sorted(m[0] for m in block.matches(t, 0.8))
+    assert found(b"Now tell me: What is 12 + 7 = ? Think about it well.") == [1, 3]
+    assert found(b"Now tell me what is 30 + 5 = ? Think about it well.") == [1]
+    assert found(b"They said Name three large green birds and went home.") == [2]
+    assert found(b"please Solve this quickly or never at all") == [4]
+    assert not found(b"Nothing of all that stands here, 30 5 times at least.")
+
+
 def test_all_alignments_are_tried():
     """A copy after a dozen sentences that are only built alike."""
     item = b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert."
