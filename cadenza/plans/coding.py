@@ -138,7 +138,7 @@ lens AS (SELECT video, max(k) AS last FROM canon GROUP BY video)"""
 
 def _canonical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     of = numbered(spark, sf_dir)
-    return of.where("video > 0"), of.where("video < 9").select((F.col("video") + 1).alias("video"), "k", "px")
+    return of.where("video > 0"), of.select((F.col("video") + 1).alias("video"), "k", "px")
 
 
 def _totals(df: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def test_without_oracle_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["canonical_delta", "canonical_delta_padded", "canonical_delta_clamped"])
+def test_canonical_delta_of_more_videos(spark, tmp_path, name):
+    """Every video has the one before it as representative, beyond ten too."""
+    frames = [(k, [k / 10] * 64, k) for k in range(12)]
+    spark.createDataFrame(frames, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    level = [int(float(f"{k / 10}") * 255 + 1e-4) for k in range(12)]
+    got = {r.video: r.total for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(1, 12)) and all(abs(got[k] - 64 * (level[k] - level[k - 1])) <= 64 for k in got)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
