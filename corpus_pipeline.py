@@ -37,9 +37,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as it is or with other numbers and names, go."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, as it is or with other numbers and names, go.
+
+    A row goes for its own text: null doc_id go too, and rows that share a doc_id are told apart.
+    """
+    mark = F.xxhash64("text")
+    found = decontamination.leaks(docs.select(mark.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, mark == found["doc_id"], "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def test_stages_against_brute_force(spark, tmp_path):
         at += len(n)
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(None, f"Before.\n{item}", "leak"), (7, f"After it.\n{item}", "leak"), (7, "Nothing of that kind.", "clean"), (None, "No id and clean.", "clean"), (None, None, "clean")]
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, what string"), DATA)
+    assert sorted(r.what for r in out.collect()) == ["clean"] * 3
+
+
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     names = list(queries.queries())
