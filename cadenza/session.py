@@ -12,6 +12,25 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session, or the checkpoint folder set on its context.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster that would be a folder
+    of one machine, so there it is an error.
+    """
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        current = context._jsc.sc().getCheckpointDir()
+        place = current.get() if current.isDefined() else None
+    if not place:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        context.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each application, unless PYTHONPATH has it already."""
     root = Path(__file__).resolve().parent

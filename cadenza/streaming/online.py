@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza.operators.background import FLOOR
+from cadenza.session import shared_dir
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, or a local one where that is unset."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cadenza-stream-")
-    return f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -171,7 +171,7 @@ def test_interval_and_as_of_joins(spark):
     a = spark.createDataFrame([(1, 0), (1, 10), (1, 25), (2, 10)], "k int, t long")
     b = spark.createDataFrame([(1, 5, "x"), (1, 20, "y"), (2, 11, "z")], "k int, u long, name string")
     pairs = relational.interval_join(a, b, ["k"], F.col("t"), F.col("u"), 5).select("k", "t", "name").collect()
-    assert sorted(map(tuple, pairs)) == [(1, 0, "x"), (1, 10, "x"), (1, 25, "y")]
+    assert sorted(map(tuple, pairs)) == [(1, 0, "x"), (1, 10, "x"), (1, 25, "y"), (2, 10, "z")]
     left = a.withColumn("id", F.col("t"))
     right = b.select("k", F.col("u").alias("t"), F.col("u").alias("id"), "name")
     got = {(r.k, r.t): r.last_name for r in relational.as_of(left, right, "k", "t", "id", ["name"]).collect()}
