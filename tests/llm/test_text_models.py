@@ -15,26 +15,37 @@ def docs(spark, rows):
 
 
 def plain_phrases(text, sample):
-    """Greedy longest matches against a plain text, segment by segment."""
-    n = 0
-    for start in range(0, len(text), language.SEGMENT):
-        part, i = text[start : start + language.SEGMENT], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
+    """Greedy longest matches against a plain text."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
-def test_cross_parsing_equals_plain_search():
+@pytest.mark.parametrize("segment", [7, 512])
+def test_cross_parsing_equals_plain_search(monkeypatch, segment):
+    """Whole texts, whatever the segments: random ones, and ones whose walks never meet."""
+    monkeypatch.setattr(language, "SEGMENT", segment)
     rng = np.random.default_rng(0)
-    sample = "".join(rng.choice(list("abcd "), 400))
-    codes = {c: k + 2 for k, c in enumerate("abcde ")}
-    t = language.table([codes[c] for c in sample], language.ALPHABET)
-    texts = ["", "a", "abcabc", "eee", "".join(rng.choice(list("abcde "), 3000)), sample]
-    got = language.phrases([np.array([codes[c] for c in x], np.uint8) for x in texts], [t])
-    assert got[:, 0].tolist() == [plain_phrases(x, sample) for x in texts]
+    samples = ["".join(rng.choice(list("abcd "), 400)), "abcde" * 50, "a"]
+    codes = {c: k for k, c in enumerate(" ?abcde")}
+    automata = [language.Automaton([codes[c] for c in s], len(codes)) for s in samples]
+    texts = ["", "a", "abcabc", "eee", "".join(rng.choice(list("abcde "), 5000)), samples[0], "abcde" * 1300, "cdeab" * 400 + "?" + "bcdea" * 300]
+    got = language.phrases([np.array([codes[c] for c in x], np.int32) for x in texts], automata)
+    assert got.tolist() == [[plain_phrases(x, s) for s in samples] for x in texts]
+    assert [a.count(np.array([codes[c] for c in texts[4]])) for a in automata] == got[4].tolist()
+
+
+def test_letters_of_large_alphabets_are_told_apart():
+    rng = np.random.default_rng(1)
+    a, b = (["".join(map(chr, rng.integers(0x4E00 + k, 0x4E00 + k + 1500, 3))) for _ in range(800)] for k in (0, 700))
+    text = lambda words, n: " ".join(rng.choice(words, n))
+    code, automata = language._automata((text(a, 3000), text(b, 3000)))
+    found = language.phrases([code[language.characters(text(w, 200))] for w in (a, b)], automata)
+    assert found[0, 0] < 0.7 * found[0, 1] and found[1, 1] < 0.7 * found[1, 0]
 
 
 def test_language_of_odd_documents(spark):
