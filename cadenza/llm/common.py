@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where unset."""
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        current = context._jsc.sc().getCheckpointDir()
-        place = current.get() if current.isDefined() else None
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        context.setCheckpointDir(place)
-    return place.rstrip("/")
+#: For each open scratch() the paths made in it.
+_made: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,15 +23,34 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cadenza_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(df: DataFrame | None) -> None:
     """Delete what written() made, once nothing reads it any more."""
-    delete_path(df.sparkSession, getattr(df, "_cadenza_path", None))
+    if df is not None:
+        delete_path(df.sparkSession, getattr(df, "_cadenza_path", None))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written within are deleted at the end, but for those put into the list, which stay for what is around."""
+    keep: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        stay = {getattr(df, "_cadenza_path", None) for df in keep}
+        for path in _made.pop():
+            if path not in stay:
+                delete_path(spark, path)
+            elif _made:
+                _made[-1].append(path)
 
 
 def delete_path(spark: SparkSession, path: str | None) -> None:

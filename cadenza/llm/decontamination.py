@@ -3,23 +3,29 @@
 Words become template tokens: a number is a typed placeholder, so is a unit that follows one, and so
 is a name (a capitalised word that doesn't begin a sentence or line); any other word is itself, lower-cased,
 without punctuation. Because names are told by their capitals, which a copy may change, items are also
-searched with names as plain words. Windows of WINDOW template tokens are hashed. A document matches an item where
-a share of at least `similarity` of the item's windows is found in it, and where the slots agree: on
-an alignment, equal slot values of the item stand for equal values in the
-document and the other way round, so that a question with other numbers or names is caught and a
-text that is only built alike is not. All alignments that hold enough of the item's windows are tried.
-
-The benchmark is the build side of the hash join: its templates, in blocks of bounded size, are sent
-to the tasks that read the documents. Documents are not shuffled; a larger benchmark takes more
-blocks, each a pass over the documents.
+searched with names as plain words. Windows of WINDOW template tokens are hashed.
+
+A document matches an item where a share of at least `similarity` of the item's different windows is
+found in it, and where the slots agree: equal slot values of the item stand for equal values in the
+document and the other way round, in a share of at least `similarity` of the slots, so that a question
+with other numbers or names is caught and a text that is only built alike is not. The slots are compared
+at each place that holds enough of the item's windows: those whose positions in the item and in the text
+differ by the same number of tokens, or up to half of the item's length more, for words that were put
+in. Every such place of a text is tried. If no place holds enough of the windows, because the item is
+scattered over the text, all windows found are one place.
+
+The benchmark is the build side of the hash join: its windows, in sorted arrays and in blocks of bounded
+size, are sent to the tasks that read the documents. Documents are not shuffled; a larger benchmark
+takes more blocks, each a pass over the documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import dropped, written
+
 WINDOW, SIMILARITY = 5, 0.8
-#: Windows of items sent at once at most; words a worker remembers.
-BLOCK_WINDOWS, WORDS = 1_000_000, 400_000
+#: Words of items sent at once at most, words a worker remembers, and bytes of texts looked up at once (or one text).
+BLOCK_WORDS, WORDS, GROUP = 250_000, 150_000, 1 << 20
 #: Units that a number may bear.
 UNITS = frozenset(
     "%|cm|mm|m|km|inch|inches|foot|feet|ft|yard|yards|mile|miles|mg|g|kg|gram|grams|kilogram|kilograms|ton|tons|oz|ounce|ounces|lb|lbs|pound|pounds"
@@ -38,21 +46,21 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(%|[A-Za-z]{0,3})")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-NUMBER, NAME, UNIT = (xxhash.xxh64_intdigest(f"\0{t}") for t in ("number", "name", "unit"))
+NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(f"\0{t}")) for t in ("number", "name", "unit"))
 _IS_NUMBER, _CAPITAL, _ENDS, _IS_UNIT, _BLANK = 1, 2, 4, 8, 16
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-class Words:
-    """What is known of words, as parallel arrays: the hash of the word and its flags."""
+class Words(dict):
+    """What is known of words: numbers of rows of two arrays, the hash of the word and its flags."""
 
     def __init__(self):
-        self.at: dict[bytes, int] = {}
+        super().__init__()
         self.hash, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
 
-    def _learn(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         s = word.decode("utf-8", "replace")
-        core = _EDGE.sub("", s)
+        core = s if s.isalnum() else _EDGE.sub("", s)
         flags = 0
         if s.endswith((".", "!", "?", ":", '."', '!"', '?"', ".)")):
             flags |= _ENDS
@@ -65,143 +73,185 @@ class Words:
                 flags |= _CAPITAL
             if (core or s).lower() in UNITS:
                 flags |= _IS_UNIT
-        k = self.at[word] = len(self.at)
+        k = self[word] = len(self)
         if k == len(self.hash):
             self.hash, self.flags = np.resize(self.hash, 2 * k), np.resize(self.flags, 2 * k)
         self.hash[k], self.flags[k] = xxhash.xxh64_intdigest((core or s).lower()), flags
         return k
 
-    def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template tokens of a text, the hashes of what they stand for, and whether they are slots."""
-        return self.both(text)[0]
-
-    def both(self, text: bytes | None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
-        """tokens(), and the same with names as plain words."""
-        words = (text or b"").replace(b"\n", b" . ").split()  # a line's end ends a sentence
-        if len(self.at) > WORDS:
-            self.at.clear()
-        get, learn = self.at.get, self._learn
-        at = np.fromiter([k if (k := get(w)) is not None else learn(w) for w in words], np.int64, len(words))
-        value, flags = self.hash[at], self.flags[at]
+    def texts(self, texts: list[bytes | None]) -> Texts:
+        if len(self) > WORDS:
+            self.clear()
+        words = [(t or b"").replace(b"\n", b" . ").split() for t in texts]  # a line's end ends a sentence
+        n = np.array([len(w) for w in words], np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        return Texts(self.hash[at], self.flags[at], np.repeat(np.arange(len(texts)), n), len(texts))
+
+
+class Texts:
+    """Template tokens of texts, one after another.
+
+    row: the text of each token, starts: where each text begins. tokens: for names as slots and for names
+    as plain words. value: the hash of what a token stands for. slots: whether it is a slot, for both.
+    """
+
+    def __init__(self, value: np.ndarray, flags: np.ndarray, row: np.ndarray, n: int):
         stay = flags & _BLANK == 0
-        ends = np.zeros(len(flags), bool)  # a sentence ended before
-        if len(flags):
-            ends[0] = True
-            ends[1:] = flags[:-1] & _ENDS != 0
-        value, flags, ends = value[stay], flags[stay], ends[stay]
+        first = np.ones(len(row), bool)  # a sentence, line or text begins
+        first[1:] = (row[1:] != row[:-1]) | (flags[:-1] & _ENDS != 0)
+        self.value, self.row, flags, first = value[stay], row[stay], flags[stay], first[stay]
         number = flags & _IS_NUMBER != 0
         unit = np.zeros(len(flags), bool)
-        unit[1:] = (flags[1:] & _IS_UNIT != 0) & number[:-1]
-        name = (flags & _CAPITAL != 0) & ~ends & ~unit
-        token = np.where(number, np.uint64(NUMBER), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), value)))
-        return (token, value, number | unit | name), (np.where(name, value, token), value, number | unit)
+        unit[1:] = (flags[1:] & _IS_UNIT != 0) & number[:-1] & (self.row[1:] == self.row[:-1])
+        self.name = (flags & _CAPITAL != 0) & ~first & ~unit
+        plain = np.where(number, NUMBER, np.where(unit, UNIT, self.value))
+        self.tokens = (np.where(self.name, NAME, plain), plain)
+        self.slots = (number | unit | self.name, number | unit)
+        self.starts = np.searchsorted(self.row, np.arange(n + 1))
 
 
 def windows(token: np.ndarray, length: int = WINDOW) -> np.ndarray:
-    """Hashes of all windows of length tokens; fewer tokens are one window."""
-    if not len(token):
-        return np.zeros(0, np.uint64)
-    n = max(1, len(token) - length + 1)
-    out = np.full(n, min(len(token), length), np.uint64)
-    for k in range(min(length, len(token))):
-        out = (out + token[k : k + n] * _POWERS[k]) * np.uint64(0xD6E8FEB86659FD93)
+    """Hashes of all windows of length tokens; none of fewer tokens."""
+    n = max(0, len(token) - length + 1)
+    out = np.full(n, length, np.uint64)
+    for k in range(length):
+        out += token[k : k + n] * _POWERS[k]
+        out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
     return out
 
 
-class Items:
-    """A block of benchmark items, ready to be looked up; plain: with names as plain words."""
+def agreement(mine: np.ndarray, theirs: np.ndarray) -> float:
+    """Share of pairs of slot values that one mapping, one to one, explains; the most frequent pairs come first, then the smallest."""
+    pairs = Counter(zip(mine.tolist(), theirs.tolist(), strict=True))
+    if not pairs:
+        return 1.0
+    left, right, agreed = set(), set(), 0
+    for (x, y), n in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
+        if x not in left and y not in right:
+            left.add(x)
+            right.add(y)
+            agreed += n
+    return agreed / len(mine)
 
-    def __init__(self, texts: list[tuple[int, bytes]], words: Words | None = None, plain: bool = False):
-        self.words = words or Words()
-        self.item, self.parts, keys, who, where = [], [], [], [], []
-        self.row = []
-        for row, (item, text) in enumerate(texts):
-            token, value, slot = self.words.both(text)[plain]
-            w = windows(token)
-            if len(w):
-                self.parts.append((token, value, slot, len(np.unique(w))))
+
+class Block:
+    """Benchmark items as sorted arrays of windows; each item twice, with names as slots and as plain words."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.item = [i for i, _ in items]
+        words = Words()
+        self.parts = []
+        keys, who, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, (_, text) in enumerate(items):
+            t = words.texts([text])
+            for plain in (0, 1):
+                token = t.tokens[plain]
+                w = windows(token, min(WINDOW, len(token))) if len(token) else np.zeros(0, np.uint64)
+                self.parts.append((len(token), t.value, t.slots[plain], w))
                 keys.append(w)
-                who.append(np.full(len(w), len(self.item)))
+                who.append(np.full(len(w), 2 * row + plain))
                 where.append(np.arange(len(w)))
-                self.item.append(item)
-                self.row.append(row)
-        keys, who, where = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (who, np.int64), (where, np.int64)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.who, self.where = keys[order], who[order], where[order]
-        #: lengths of the items that are shorter than a window
-        self.short = sorted({len(p[0]) for p in self.parts if len(p[0]) < WINDOW})
-
-    def matches(self, text: bytes | None, similarity: float) -> list[tuple[int, int, float, float]]:
-        """(item_id, windows found, similarity, slot agreement) of the items that a text holds."""
-        return [(self.item[i], *m) for i, m in self.search(self.words.tokens(text), similarity).items()]
-
-    def search(self, parts: tuple[np.ndarray, np.ndarray, np.ndarray], similarity: float) -> dict[int, tuple[int, float, float]]:
-        """matches() of a text's tokens, by the item's number in the block."""
-        token, value, _ = parts
-        w = windows(token)
-        where = np.arange(len(w))
-        if self.short and len(token):
-            more = [windows(token, n) for n in self.short if n < min(len(token), WINDOW)]
-            w, where = np.concatenate([w, *more]), np.concatenate([where, *(np.arange(len(x)) for x in more)])
-        a, z = np.searchsorted(self.keys, w), np.searchsorted(self.keys, w, "right")
-        hit = np.nonzero(z > a)[0]
-        if not len(hit):
-            return {}
-        found: dict[int, set[int]] = defaultdict(set)
-        shifts: dict[int, Counter] = defaultdict(Counter)
-        for d in hit.tolist():
-            for k in range(a[d], z[d]):
-                found[self.who[k]].add(int(self.keys[k]))
-                shifts[self.who[k]][int(where[d]) - int(self.where[k])] += 1
-        out = {}
-        for i, seen in found.items():
-            theirs, values, slot, n = self.parts[i]
-            if len(theirs) < WINDOW and slot.all() and not any(np.array_equal(values, value[s : s + len(values)]) for s in shifts[i]):
+        keys, who, where = np.concatenate(keys), np.concatenate(who), np.concatenate(where)
+        self.keys, which = np.unique(keys, return_inverse=True)
+        # items of each different window, each once
+        pairs = np.unique(which * max(1, len(self.parts)) + who)
+        self.who = pairs % max(1, len(self.parts))
+        self.ends = np.searchsorted(pairs // max(1, len(self.parts)), np.arange(len(self.keys) + 1))
+        self.different = np.bincount(self.who, minlength=len(self.parts))
+        self.lengths = sorted({WINDOW} | {n for n, *_ in self.parts if 0 < n < WINDOW})
+        bits = min(24, max(10, (64 * len(self.keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.sieve = np.zeros(1 << bits, bool)
+        self.sieve[(self.keys >> self.shift).view(np.int64)] = True
+
+    def _found(self, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows w at places at: the numbers of those keys that are items', and their places."""
+        may = np.flatnonzero(self.sieve[(w >> self.shift).view(np.int64)])
+        k = np.searchsorted(self.keys, w[may])
+        ok = self.keys[np.minimum(k, len(self.keys) - 1)] == w[may]
+        return k[ok], at[may[ok]]
+
+    def search(self, t: Texts, similarity: float) -> Iterator[tuple[int, int, int, float, float]]:
+        """(text, item's row, windows found, similarity, slot agreement) of the items that texts hold, in order."""
+        if not len(self.keys):
+            return
+        hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for length in self.lengths:
+            n = max(0, len(t.row) - length + 1)
+            whole = np.flatnonzero(t.row[:n] == t.row[length - 1 : length - 1 + n])
+            hits[0].append(self._found(windows(t.tokens[0], length)[whole], whole))
+            # with names as plain words only windows that hold one are others
+            named = np.zeros(n, bool)
+            for k in range(length):
+                named |= t.name[k : k + n]
+            some = named[whole]
+            key, at = hits[0][-1]
+            hits[1].append((key[~named[at]], at[~named[at]]))
+            if some.any():
+                hits[1].append(self._found(windows(t.tokens[1], length)[whole[some]], whole[some]))
+        found: dict[tuple[int, int], tuple[int, int, int, float, float]] = {}
+        for plain in (0, 1):
+            key, at = (np.concatenate(x) for x in zip(*hits[plain], strict=True))
+            if not len(key):
                 continue
-            if len(seen) >= similarity * n:
-                agreed = 0.0
-                for k, (shift, hits) in enumerate(shifts[i].most_common()):
-                    # beyond the first few: alignments that hold enough of the item, until one agrees
-                    if k >= 8 and (hits < similarity * n or agreed >= similarity):
-                        break
-                    agreed = max(agreed, self._agreement(theirs, values, slot, token, value, shift))
+            # different windows of each text, then the items that have them
+            seen = np.unique(t.row[at] * len(self.keys) + key)
+            text, key_of = seen // len(self.keys), seen % len(self.keys)
+            n = self.ends[key_of + 1] - self.ends[key_of]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.ends[key_of], n)
+            pair, many = np.unique(np.repeat(text, n) * len(self.parts) + self.who[entry], return_counts=True)
+            who = pair % len(self.parts)
+            enough = (who % 2 == plain) & (many >= similarity * self.different[who] - 1e-9)
+            for g, of, m in zip((pair // len(self.parts))[enough].tolist(), who[enough].tolist(), many[enough].tolist(), strict=True):
+                if (g, of // 2) not in found and (agreed := self._agreed(t, g, of, similarity)) is not None:
+                    found[g, of // 2] = (g, of // 2, m, m / int(self.different[of]), agreed)
+        yield from (found[k] for k in sorted(found))
+
+    def _agreed(self, t: Texts, text: int, of: int, similarity: float) -> float | None:
+        """The agreement of slots at the first place in a text that agrees enough, or None."""
+        length, values, slot, w = self.parts[of]
+        plain, size = of % 2, min(WINDOW, length)
+        a, z = t.starts[text], t.starts[text + 1]
+        value = t.value[a:z]
+        here = windows(t.tokens[plain][a:z], size)
+        # all pairs of a window of the item and one of the text that are equal
+        order = np.argsort(w, kind="stable")
+        low, high = np.searchsorted(w[order], here), np.searchsorted(w[order], here, "right")
+        n = high - low
+        i = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
+        p = np.repeat(np.arange(len(here)), n)
+        if length < WINDOW and slot.all():
+            # nothing but slots: their values must be the same
+            return 1.0 if any(np.array_equal(values, value[k : k + length]) for k in p.tolist()) else None
+        order = np.lexsort((i, p - i))
+        i, p = i[order], p[order]
+        shift = p - i
+        _, kind = np.unique(w, return_inverse=True)
+        need = similarity * (kind.max() + 1) - 1e-9
+        begin = np.flatnonzero(np.diff(shift, prepend=shift[0] - 1))
+        end = np.searchsorted(shift, shift[begin] + max(size, length // 2), "right")
+        held, best = False, None
+        for b, e in zip(begin[end - begin >= need].tolist(), end[end - begin >= need].tolist(), strict=True):
+            if len(np.unique(kind[i[b:e]])) >= need:
+                held = True
+                agreed = self._slots_agree(values, slot, value, i[b:e], p[b:e], size)
                 if agreed >= similarity:
-                    out[i] = (len(seen), len(seen) / n, agreed)
-        return out
+                    return agreed
+        if not held:
+            best = self._slots_agree(values, slot, value, i, p, size)
+        return best if best is not None and best >= similarity else None
 
     @staticmethod
-    def _agreement(theirs, values, slot, token, value, shift: int) -> float:
-        """Share of slots, where the templates meet at shift, whose values map one to one."""
-        at = np.nonzero(slot)[0]
-        at = at[(at + shift >= 0) & (at + shift < len(token))]
-        at = at[theirs[at] == token[at + shift]]
-        pairs = Counter(zip(values[at].tolist(), value[at + shift].tolist(), strict=True))
-        if not pairs:
-            return 1.0
-        mine, other, agreed = set(), set(), 0
-        for (x, y), n in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
-            if x not in mine and y not in other:
-                mine.add(x)
-                other.add(y)
-                agreed += n
-        return agreed / sum(pairs.values())
-
-
-class Block:
-    """Items with names as slots and, for copies in other case, as plain words."""
+    def _slots_agree(values: np.ndarray, slot: np.ndarray, value: np.ndarray, i: np.ndarray, p: np.ndarray, size: int) -> float:
+        step = np.arange(size)
+        both = np.unique(np.stack([(i[:, None] + step).ravel(), (p[:, None] + step).ravel()]), axis=1)
+        mine, theirs = both[:, slot[both[0]]]
+        return agreement(values[mine], value[theirs])
 
-    def __init__(self, texts: list[tuple[int, bytes]]):
-        self.items = Items(texts)
-        self.plain = Items(texts, self.items.words, plain=True)
-
-    def matches(self, text: bytes | None, similarity: float) -> list[tuple[int, int, float, float]]:
-        """Items.matches(), and what is found with names as plain words only."""
-        slots, plain = self.items.words.both(text)
-        found = {self.items.row[i]: (self.items.item[i], *m) for i, m in self.items.search(slots, similarity).items()}
-        for i, m in self.plain.search(plain, similarity).items():
-            found.setdefault(self.plain.row[i], (self.plain.item[i], *m))
-        return list(found.values())
+    def matches(self, text: bytes | None, similarity: float = SIMILARITY) -> list[tuple[int, int, float, float]]:
+        """(item_id, windows found, similarity, slot agreement) of the items that one text holds."""
+        return [(self.item[row], *m) for _, row, *m in self.search(Words().texts([text]), similarity)]
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -211,41 +261,82 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]
     for r in rows.toLocalIterator():
         size = len(bytes(r["text"]).split())
         if held and n + size > limit:
-            yield held
+            yield sorted(held)
             held, n = [], 0
         held.append((r["item_id"], bytes(r["text"])))
         n += size
     if held:
-        yield held
+        yield sorted(held)
+
+
+def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Runs of rows (from, to, texts) of about GROUP bytes."""
+    start, size, held = 0, 0, []
+    for k, t in enumerate(batch.column(column).cast(pa.binary())):
+        held.append(t.as_py())
+        size += len(held[-1] or b"")
+        if size >= GROUP or k + 1 == batch.num_rows:
+            yield start, k + 1, held
+            start, size, held = k + 1, 0, []
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, n_windows, similarity, agreement): a row for each row of docs and item it holds.
 
     docs has doc_id and text, benchmark item_id and text; other columns are not read. Null, empty and
-    blank texts match nothing. An item of fewer than WINDOW template tokens is one window. Repeated
-    items and documents are answered each; empty tables give an empty result.
+    blank texts match nothing; texts of any length are searched whole. An item of fewer than WINDOW
+    template tokens is one window. Where several places of a text agree, the agreement is that of the
+    first. Repeated items and documents are answered each; empty tables give an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shape = "doc_id long, item_id long, n_windows long, similarity double, agreement double"
 
     def search(items: list[tuple[int, bytes]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(items))
+        # at most block_words words, or one item
+        shared = docs.sparkSession.sparkContext.broadcast(Block(items))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(shared.value)
+            block, words = shared.value, Words()
             for batch in batches:
-                out = [
-                    (doc_id, *m)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)
-                    for m in block.matches(text.as_py(), similarity)
-                ]
-                if out:
-                    columns = zip(*out, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_windows", "similarity", "agreement"])
+                for a, _, texts in _grouped(batch, 1):
+                    out = list(block.search(words.texts(texts), similarity))
+                    if out:
+                        text, row, n, share, agreed = zip(*out, strict=True)
+                        ids = batch.column(0).take(pa.array([a + k for k in text]))
+                        columns = [ids, pa.array([block.item[r] for r in row], pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(agreed, pa.float64())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_windows", "similarity", "agreement"])
 
         return rows.mapInArrow(run, shape)
 
-    found = [search(b) for b in blocks(benchmark, block_windows)]
+    found = [search(b) for b in blocks(benchmark, block_words)]
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], shape)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs (text, ...) that hold no item of benchmark (item_id, text), with all their columns.
+
+    Each row is judged by its own text, as leaks() has it, so null, repeated or shared ids do no harm;
+    null, empty and blank texts stay. Nothing is shuffled. An empty benchmark leaves all rows. Where the
+    benchmark takes several blocks, what one leaves is written for the next.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+    out, before = docs, None
+    for items in blocks(benchmark, block_words):
+        if out is not docs:
+            out = written(out, "clean")
+            dropped(before)
+            before = out
+        # at most block_words words, or one item
+        shared = docs.sparkSession.sparkContext.broadcast(Block(items))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, words = shared.value, Words()
+            for batch in batches:
+                for a, z, texts in _grouped(batch, at):
+                    stay = np.ones(z - a, bool)
+                    stay[[k for k, *_ in block.search(words.texts(texts), similarity)]] = False
+                    if stay.any():
+                        yield batch.slice(a, z - a).filter(pa.array(stay))
+
+        out = out.mapInArrow(run, schema)
+    return out

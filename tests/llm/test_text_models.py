@@ -151,13 +151,13 @@ def test_reparameterised_questions_are_caught(spark):
     got = sorted((str(r.doc_id), r.item_id) for r in out.collect())
     assert [x for x in got if x[1] == 1] == [("1", 1), ("1", 1), ("2", 1), ("3", 1), ("None", 1)]
     assert ("8", 2) in got and not any(d in ("4", "5", "6") for d, _ in got)
-    blocks = decontamination.leaks(df, benchmark, block_windows=10)
+    blocks = decontamination.leaks(df, benchmark, block_words=10)
     assert sorted((str(r.doc_id), r.item_id) for r in blocks.collect()) == got
     assert decontamination.leaks(df.where("false"), benchmark).count() == 0 and decontamination.leaks(df, benchmark.where("false")).count() == 0
 
 
 def test_slots_must_agree():
-    items = decontamination.Items([(1, b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert")])
+    items = decontamination.Block([(1, b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert")])
     fits = b"Then Carl gave Dora and Carl told Dora that Carl owes Dora for what Carl took of Dora"
     jumbled = b"Then Carl gave Dora and Egon told Finn that Gina owes Hans for what Ida took of Jan"
     assert items.matches(fits, 0.8)[0][3] == 1.0 and not items.matches(jumbled, 0.8)
@@ -181,12 +181,68 @@ def test_short_items_are_found_inside_texts():
 
 
 def test_all_alignments_are_tried():
-    """A copy after a dozen sentences that are only built alike."""
+    """A copy after many sentences that are only built alike, and one with words put in."""
     item = b"Then Anna gave Bert and Anna told Bert that Anna owes Bert for what Anna took of Bert."
     jumbled = b"Then Carl gave Dora and Egon told Finn that Gina owes Hans for what Ida took of Jan."
-    items = decontamination.Items([(1, item)])
-    assert not items.matches(b" ".join([jumbled] * 12), 0.8)
-    assert items.matches(b" ".join([*[jumbled] * 12, item]), 0.8)[0][3] == 1.0
+    changed = item.replace(b"Anna", b"Kurt").replace(b"Bert", b"Lena")
+    items = decontamination.Block([(1, item)])
+    for n in (1, 7, 8, 12, 100):
+        assert not items.matches(b" ".join([jumbled] * n), 0.8)
+        for copy in (item, changed, changed.replace(b"Then Kurt", b"Then Kurt quickly")):
+            assert items.matches(b" ".join([*[jumbled] * n, copy]), 0.8)[0][3] >= 0.8
+
+
+def plain_slots(item, text, similarity=0.8):
+    """Brute force: does some place of the text hold enough of the item's windows, with slots that map one to one?"""
+    words = decontamination.Words()
+    a, b = words.texts([item]), words.texts([text])
+    for plain in (0, 1):
+        (x, sx), (y, sy) = ((t.tokens[plain].tolist(), t.slots[plain].tolist()) for t in (a, b))
+        need = similarity * len({tuple(x[k : k + 5]) for k in range(len(x) - 4)}) - 1e-9
+        hits = [(p - i, i, p) for i in range(len(x) - 4) for p in range(len(y) - 4) if x[i : i + 5] == y[p : p + 5]]
+        reach, places = max(5, len(x) // 2), []
+        for s in sorted({h[0] for h in hits}):
+            here = [(i, p) for shift, i, p in hits if s <= shift <= s + reach]
+            if len({tuple(x[i : i + 5]) for i, _ in here}) >= need:
+                places.append(here)
+        if not places and len({tuple(x[i : i + 5]) for _, i, _ in hits}) >= need:
+            places = [[(i, p) for _, i, p in hits]]
+        for here in places:
+            pairs = sorted({(i + k, p + k) for i, p in here for k in range(5) if sx[i + k]})
+            counts, left, right, agreed = {}, set(), set(), 0
+            for i, p in pairs:
+                v = (int(a.value[i]), int(b.value[p]))
+                counts[v] = counts.get(v, 0) + 1
+            for (v, w), n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
+                if v not in left and w not in right:
+                    left.add(v), right.add(w)
+                    agreed += n
+            if agreed >= similarity * len(pairs):
+                return True
+    return False
+
+
+def test_slots_equal_brute_force():
+    rng = np.random.default_rng(3)
+    names = [b"Anna", b"Bert", b"Carl", b"12", b"7", b"30"]
+    both = {True: 0, False: 0}
+    for _ in range(150):
+        words = [names[k] if (k := rng.integers(14)) < 6 else b"w%d" % rng.integers(30) for _ in range(12)]
+        item = b"so " + b" ".join(words)
+        parts = [b"at first"]
+        for _ in range(rng.integers(1, 5)):
+            to = dict(zip(names, [names[k] for k in (rng.permutation(3) if rng.random() < 0.7 else rng.integers(0, 3, 3))] + [names[3 + k] for k in rng.permutation(3)], strict=True))
+            again = [to.get(w, w) for w in words]
+            if rng.random() < 0.4:
+                again[rng.integers(len(again))] = names[rng.integers(6)]
+            if rng.random() < 0.4:
+                again.insert(rng.integers(len(again)), b"put in")
+            parts += [b"so", *again]
+        text = b" ".join(parts)
+        got = bool(decontamination.Block([(1, item)]).matches(text))
+        assert got == plain_slots(item, text)
+        both[got] += 1
+    assert min(both.values()) >= 20
 
 
 def test_leaks_equal_brute_force(spark):
@@ -201,18 +257,30 @@ def test_template_windows_equal_brute_force():
     rng = np.random.default_rng(0)
     vocab = [b"alpha", b"beta", b"Gamma", b"12", b"km", b"delta.", b"--", b"Echo"]
     items = [(k, b" ".join(rng.choice(vocab, rng.integers(1, 12)))) for k in range(30)]
-    block = decontamination.Items(items)
-    for _ in range(60):
-        text = b" ".join([*rng.choice(vocab, 6), items[rng.integers(30)][1], *rng.choice(vocab, 6)])
-        tokens = block.words.tokens(text)[0].tolist()
-        mine = {tuple(tokens[i : i + 5]) for i in range(max(0, len(tokens) - 4))}
-        got = {m[0]: m[1] for m in block.matches(text, 0.8)}
-        for k, t in items:
-            theirs = block.words.tokens(t)[0].tolist()
-            if len(theirs) >= 5:
-                w = {tuple(theirs[i : i + 5]) for i in range(len(theirs) - 4)}
-                if k in got:
-                    assert got[k] == len(w & mine) >= 0.8 * len(w)
+    block, words = decontamination.Block(items), decontamination.Words()
+    texts = [b" ".join([*rng.choice(vocab, 6), items[rng.integers(30)][1], *rng.choice(vocab, 6)]) for _ in range(60)]
+    got = {}
+    for text, row, n, *_ in block.search(words.texts(texts), 0.8):
+        got.setdefault(text, {})[row] = n
+    for k, text in enumerate(texts):
+        assert {m[0]: m[1] for m in block.matches(text, 0.8)} == got.get(k, {})  # alone or with others
+        for row, n in got.get(k, {}).items():
+            counts = []
+            for plain in (0, 1):
+                mine, theirs = (words.texts([t]).tokens[plain].tolist() for t in (text, items[row][1]))
+                length = min(5, len(theirs))
+                cut = lambda t: {tuple(t[i : i + length]) for i in range(len(t) - length + 1)}
+                counts.append((len(cut(theirs) & cut(mine)), len(cut(theirs))))
+            assert any(n == c >= 0.8 * w for c, w in counts)
+
+
+def test_clean_rows_stay(spark):
+    rows = [(1, ITEM, "a"), (None, f"so\n{ITEM}", "b"), (1, "nothing of it", "c"), (None, None, "d"), (2, "", "e"), (2, OTHER.upper(), "f"), (2, "nothing of it", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, None)], "item_id long, text string")
+    for words in (10, 1000):
+        assert sorted(r.item_id for r in decontamination.clean(df, benchmark, block_words=words).collect()) == ["c", "d", "e", "g"]
+    assert decontamination.clean(df, benchmark.where("false")).count() == len(rows) and decontamination.clean(df.where("false"), benchmark).count() == 0
 
 
 @pytest.mark.parametrize("shards", [1, 3, 24])
