@@ -38,10 +38,18 @@ SKIPPABLE, MAGIC = 0x184D2A5E, b"CZSEEK1\n"
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4"), ("first", "<i8"), ("last", "<i8"), ("docs", "<u4"), ("ids", "<u8")])
 #: Ids after which a frame, and a file, is closed.
 FRAME_IDS, FILE_IDS = 1 << 16, 1 << 23
-#: Words a worker remembers, once; at most twice as many and a batch's.
-WORDS = 450_000
+#: Bytes of words and ids that a worker remembers of late; as many again are those before, and no longer word is remembered.
+MEMORY, LONGEST = 32 << 20, 256
 #: Closing punctuation, which never begins a contraction.
 _CLOSING = b".,;:!?)*#$%&|"
+#: The normaliser's and splitter's parts in vocabularies that are encoded by words.
+PARTS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
 #: A null doc_id in a file.
 NULL_ID = -(1 << 63)
 
@@ -61,8 +69,8 @@ class Encoder:
     characters across ASCII white space, and its special tokens hold none, so the ids of a text are
     those of its words in order. Closing punctuation after a letter or digit is a piece of its own in
     such a vocabulary, and letters are lower-cased. Words repeat: the library sees what is new,
-    and a worker remembers the words of the last WORDS to 2 * WORDS different ones that it met.
-    Other vocabularies get whole texts.
+    and a task remembers the words it met of late, in two generations of MEMORY bytes. This holds
+    for vocabularies with the very normaliser and splitter of PARTS; others get whole texts.
     """
 
     def __init__(self, path: str):
@@ -70,13 +78,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
-        steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
-        self.by_words = made["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and not any(
+        parts = ((made.get("normalizer") or {}).get("normalizers"), (made.get("pre_tokenizer") or {}).get("pretokenizers"))
+        self.by_words = made["model"].get("end_of_word_suffix") == "</w>" and parts == PARTS and not any(
             t["lstrip"] or t["rstrip"] or t["content"].encode().split() != [t["content"].encode()] for t in made["added_tokens"]
         )
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
-        self.known = Known(self)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.size = Known(self, {}), 0
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
@@ -103,26 +114,32 @@ class Encoder:
             yield from map(self.whole, texts)
             return
         for text in texts:
-            if len(self.known) > WORDS:
-                self.known = Known(self, self.known)
+            if self.size > MEMORY:
+                self.known.old = {}  # the generation before the last
+                self.known, self.size = Known(self, self.known), 0
             yield b"".join(map(self.known.__getitem__, text.split()))
 
 
 class Known(dict):
     """The ids of words; a word that isn't there comes from the generation before, or else from the library."""
 
-    def __init__(self, encoder: Encoder, old: dict[bytes, bytes] | None = None):
+    def __init__(self, encoder: Encoder, old: dict[bytes, bytes]):
         super().__init__()
-        self.encoder, self.old = encoder, dict(old or ())
+        self.encoder, self.old = encoder, old
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
-        self[word] = ids = self.encoder.word(word) if ids is None else ids
+        if ids is None:
+            ids = self.encoder.word(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+            self.encoder.size += len(word) + len(ids) + 160  # what Python needs besides
         return ids
 
 
 @cache
 def encoder(path: str) -> Encoder:
+    """The vocabulary, loaded once a worker; tasks make it forget their words."""
     return Encoder(path)
 
 
@@ -205,21 +222,22 @@ class Reader:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write the ids of every row of docs (doc_id, text, ...) to files under path, in ascending doc_id.
 
-    A null or empty text has only the end id. Rows that repeat a doc_id are all written, ordered by
-    text; a null doc_id comes first. An empty table writes no file with documents. Other columns are
-    not read. tokenizer is the vocabulary file's place, the same on all machines.
+    A null or empty text has only the end id; texts of any length are encoded whole, a document in one
+    frame. Rows that repeat a doc_id are all written, ordered by text; a null doc_id comes first. An
+    empty table writes no file with documents. Other columns are not read. tokenizer is the vocabulary file's place, the same on all machines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, end = Writer(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
                     out.add(NULL_ID if doc_id is None else doc_id, ids + end)
                     if out.full():
                         yield pa.RecordBatch.from_pydict({"content": [out.take()[:-1]]})
+        encoder(tokenizer).forget()
         if (last := out.take()) is not None:
             yield pa.RecordBatch.from_pydict({"content": [last[:-1]]})
 

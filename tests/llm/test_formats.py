@@ -42,12 +42,27 @@ def test_other_vocabularies_get_whole_texts():
 
 
 def test_a_small_memory_changes_nothing(monkeypatch, tokenizer):
-    monkeypatch.setattr(token_files, "WORDS", 3)
+    monkeypatch.setattr(token_files, "MEMORY", 500)
+    monkeypatch.setattr(token_files, "LONGEST", 4)
     e = token_files.Encoder(PATH)
     for text in ["one two three four five", "five four, three.", "six one two six", "one five"]:
         assert np.frombuffer(next(e.encode([text.encode()])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_memory_of_words_is_bounded():
+    e = token_files.Encoder(PATH)
+    for k in range(300):
+        list(e.encode([" ".join(f"w{k}x{j}" for j in range(1000)).encode()]))
+    assert len(e.known) + len(e.known.old) < 2 * token_files.MEMORY / 150 + 2000 and not e.known.old.old
+
+
+def test_another_splitter_gets_whole_texts(tmp_path, tokenizer):
+    made = json.loads(tokenizer.to_str())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+\s?[^\s]*"
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    assert token_files.Encoder(PATH).by_words and not token_files.Encoder(str(tmp_path / "other.json")).by_words
+
+
 def test_files_round_trip(spark, tmp_path, tokenizer, monkeypatch):
     rows = [(k * 3 % 101, f"document {k} says <|endoftext|> {'word ' * (k % 9)}") for k in range(101)]
     rows += [(500, None), (501, ""), (502, "long text " * 20_000), (7, "again"), (None, "no id")]
