@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.session import shared_dir
@@ -59,6 +59,13 @@ def delete_path(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_marks(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of hash of all columns, equal for rows that are equal in every column; nulls count as such."""
+    named = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    columns = [x for c in named for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

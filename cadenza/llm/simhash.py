@@ -9,18 +9,18 @@ the radius is missed and no pair beyond it is linked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Forest, components, partitions, written
+from cadenza.llm.common import Forest, components, partitions, row_marks, scratch, written
 
-#: Fingerprints in a tile at most, and cells of the exclusive-or made at once.
-TILE, AREA = 16_384, 1 << 20
+#: Fingerprints in a tile at most, tiles of a cell that one task compares with, about, and cells of the exclusive-or made at once.
+TILE, SHARE, AREA = 16_384, 64, 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -43,16 +43,18 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row of docs (doc_id, text); fp is the signed form of the 64 bits."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, keep: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns keep for every row of docs (doc_id, text); fp is the signed form of the 64 bits."""
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.columns[-1].cast(pa.binary())
             fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("fp", "long"))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +133,14 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     )
     steps = [(x, y) for x in range(radius + 1) for y in range(-radius, radius + 1) if x + abs(y) <= radius and (x, y) >= (0, 0)]
     step = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps))).alias("step")
+    # at most 33 x 33 cells; a cell's tiles are dealt to as many keys as they need
+    cells = F.broadcast(tiles.groupBy("p1", "p2").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("salts")))
+    right = tiles.join(cells, ["p1", "p2"]).select("p1", "p2", F.pmod(F.xxhash64("tile"), F.col("salts")).alias("salt"), F.col("tile").alias("r_tile"), F.col("fps").alias("r"))
     left = tiles.select("p1", "p2", F.col("tile").alias("l_tile"), F.col("fps").alias("l"), step).select(
         (F.col("p1") + F.col("step.x")).alias("p1"), (F.col("p2") + F.col("step.y")).alias("p2"),
         ((F.col("step.x") == 0) & (F.col("step.y") == 0)).alias("home"), "l_tile", "l",
-    )
-    pairs = left.join(tiles.withColumnsRenamed({"tile": "r_tile", "fps": "r"}), ["p1", "p2"]).where("not home or l_tile <= r_tile").select("l", "r")
+    ).join(cells, ["p1", "p2"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    pairs = left.join(right, ["p1", "p2", "salt"]).where("not home or l_tile <= r_tile").select("l", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,19 +158,45 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def classes(firsts: DataFrame, radius: int) -> DataFrame:
+    """From (fp, first), a row for each fp: (fp, component, first), component the smallest fp reachable by links, and its least first."""
+    with scratch(firsts.sparkSession) as keep:
+        joined = components(links(firsts.select("fp"), radius))
+        rooted = firsts.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        heads = rooted.groupBy("component").agg(F.min("first").alias("least"))
+        out = written(rooted.join(heads, "component").select("fp", "component", F.col("least").alias("first")), "classes")
+        keep.append(out)
+    return out
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable by links of at most radius differing bits,
-    itself included. Texts that are null, empty or blank have fingerprint 0 and link like any
-    other; a text of fewer than `words` words is one shingle. Rows that repeat a doc_id are
-    answered each. Only doc_id and text are read, so other columns cannot clash. An empty table
-    gives an empty result.
+    itself included; null if all of these are null. Texts that are null, empty or blank have
+    fingerprint 0 and link like any other; a text of fewer than `words` words is one shingle, texts of
+    any length are read whole. Rows that repeat a doc_id are answered each. Only doc_id and text are
+    read, so other columns cannot clash. An empty table gives an empty result.
     """
     marks = written(fingerprints(docs, words, seed), "fingerprints")
-    firsts = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(firsts.select("fp"), radius))
-    rooted = firsts.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    heads = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = rooted.join(heads, "component").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
+    return marks.join(named.select("fp", F.col("first").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) with all their columns, one for each component of near_duplicates().
+
+    It is the row of the smallest doc_id; null comes last, and rows of one doc_id are ordered by a hash
+    of all their columns. Rows equal in every column are one. An empty table gives an empty result.
+    Columns need a type that can be hashed and grouped, as all but maps have.
+    """
+    h1, h2 = (h.alias(n) for h, n in zip(row_marks(docs), ("_row1", "_row2"), strict=True))
+    with scratch(docs.sparkSession) as keep:
+        marks = written(fingerprints(docs, words, seed, [h1, h2]), "fingerprints")
+        rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row1", "_row2")
+        named = classes(marks.groupBy("fp").agg(F.min(rank).alias("first")), radius)
+        chosen = written(named.select("first._row1", "first._row2").distinct(), "chosen")
+        keep.append(chosen)
+        if marks.groupBy("_row1", "_row2").count().where("count > 1").limit(1).count():
+            docs = docs.distinct()
+    return docs.withColumns({"_row1": h1, "_row2": h2}).join(chosen, ["_row1", "_row2"], "left_semi").select(*docs.columns)

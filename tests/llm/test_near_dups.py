@@ -58,6 +58,7 @@ def plain_components(values, near):
 def test_links_equal_brute_force(spark, n, monkeypatch):
     """Chains at the radius, dense groups, small tiles and tiles that are subdivided."""
     monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(simhash, "SHARE", 1)
     rng = np.random.default_rng(n)
     base = rng.integers(0, 2**63, n // 3, dtype=np.uint64)
     flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)) for _ in range(n - len(base))]
@@ -92,6 +93,27 @@ def test_near_duplicates_of_odd_documents(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    rows = [(1, "one two three four five six", "a", None), (1, "One two three  four five six", "a", None), (None, "one two three four five six", "z", 1), (2, "nothing like it at all here", "b", 2), (2, "nothing like it at all here", "b", 2)]
+    rows += [(None, "only null ids have this text", None, 3), (None, "only null ids have this text", None, 4), (None, None, None, None), (None, "", None, None), (3, "  ", "c", None), (4, "a" * 300_000, "d", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component int")
+    for at in (df, df.where("doc_id <> 2 or doc_id is null")):
+        got = [tuple(r) for r in simhash.one_of_each(at).collect()]
+        base = {plain_fingerprint(r[1]): [] for r in rows}
+        for r in rows:
+            base[plain_fingerprint(r[1])].append(r)
+        groups = plain_components(list(base), lambda a, b: (a ^ b).bit_count() <= 4)
+        whole = {}
+        for k, of in enumerate(base.values()):
+            whole.setdefault(groups[k], []).extend(r for r in of if at is df or r[0] != 2)
+        whole = [g for g in whole.values() if g]
+        assert len(got) == len(whole)
+        for g in whole:
+            least = min((r[0] for r in g if r[0] is not None), default=None)
+            assert sum(r in g and r[0] == least for r in got) == 1
+    assert simhash.one_of_each(df.where("false")).count() == 0
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(100)] + [(5000, 5000), (7, 3), (3, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

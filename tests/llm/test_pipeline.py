@@ -55,6 +55,37 @@ def test_decontamination_of_null_and_repeated_ids(spark):
     assert sorted(r.what for r in out.collect()) == ["clean"] * 3
 
 
+def test_stages_on_nulls_repeats_and_nothing(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (5000, None, None, "src0", None), (None, "no id but some words of a kind", None, None, 1), (None, "no id but some words of a kind", None, None, 1)]
+    docs = base.limit(20).unionByName(spark.createDataFrame(odd, base.schema)).unionByName(base.limit(3)).withColumn("fp", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        for at in (docs, docs.where("false")):
+            out = stage(spark, at, DATA)
+            n = out.count()
+            assert name == "token_files" or out.columns == docs.columns
+            assert n == 0 if at is not docs else n > 0
+            if at is docs and name in ("decontamination", "source_mixing", "token_files"):
+                assert out.where("doc_id is null").count() >= 4 and out.where("doc_id = 5000").count() >= 1
+            if at is docs and name == "language_id":
+                assert out.where("doc_id = 5000 or (doc_id is null and coalesce(text, '') = '')").count() == 0 and out.where("doc_id is null").count() == 2
+            if at is docs and name == "simhash_near_dedup":
+                assert out.groupBy("text").count().where("count > 1").count() == 0
+                assert out.where("text is null or text = ''").collect()[0].doc_id == 5000
+
+
+def test_run_deletes_what_it_no_longer_needs(spark):
+    import glob
+
+    from cadenza.session import shared_dir
+
+    place = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{place}/*"))
+    corpus_pipeline.run(spark, DATA).count()
+    left = {p.rsplit("/", 1)[1].split("-")[1] for p in set(glob.glob(f"{place}/*")) - before}
+    assert left <= {"corpus", "tokens", "source_mixing"}
+
+
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     names = list(queries.queries())
