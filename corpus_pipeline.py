@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from cadenza.llm import decontamination, language, mixing, simhash, token_files
-from cadenza.llm.common import new_path, written
+from cadenza.llm.common import dropped, new_path, scratch, written
 from cadenza.llm.queries import held_out, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,35 +24,45 @@ STRANGE_RATE, ENOUGH_LETTERS = 0.7, 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those unlike all languages that the corpus labels."""
+    """Documents without a letter go, null and empty texts too, and those unlike all languages that the corpus labels.
+
+    Each row is judged by its own text; repeated rows, null ids and labels do no harm. Of an empty table
+    nothing is learned and nothing is left.
+    """
     found = language.identify(docs, language.fit(docs, ~held_out()), keep=docs.columns)
     rejected = (F.col("lang_pred") == "und") | ((F.col("phrase_rate") >= STRANGE_RATE) & (F.col("n_letters") >= ENOUGH_LETTERS))
     return found.where(~rejected).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies only the document with the smallest doc_id stays."""
-    again = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: the one with the smallest doc_id.
+
+    A null doc_id comes last; rows that share a doc_id are ordered by a hash of all columns, and rows
+    equal in all of them are one. An empty table stays empty.
+    """
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers and names, go.
 
-    A row goes for its own text: null doc_id go too, and rows that share a doc_id are told apart.
+    A row goes for its own text: rows with null doc_id go too, and rows that share a doc_id are told
+    apart. Null and empty texts stay. An empty benchmark or table changes nothing.
     """
-    mark = F.xxhash64("text")
-    found = decontamination.leaks(docs.select(mark.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, mark == found["doc_id"], "left_anti").select(*docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated; every document stays at least once."""
+    """Small sources are repeated; every document stays at least once, null ids, texts and sources and repeated rows too."""
     return mixing.mix(docs, entropy=0.9, repeats=4.0).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows' token ids go to files; the result is read back from them."""
+    """The rows' token ids go to files; the result is read back from them.
+
+    A row for each document and time that it is repeated, in the files by doc_id, null first, and text.
+    A null or empty text has the end id alone. An empty table gives no rows.
+    """
     path = new_path(spark, "corpus-tokens")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read(spark, path)
@@ -70,10 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage wrote is deleted once the next has read it."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with scratch(spark) as keep:
+            docs = written(stage(spark, before, sf_dir), name)
+            keep.append(docs)
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
