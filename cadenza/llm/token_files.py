@@ -18,6 +18,7 @@ of the magic: any Hadoop file system serves, and the commit protocol survives lo
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -42,6 +43,7 @@ FRAME_IDS, FILE_IDS = 1 << 16, 1 << 23
 MEMORY, LONGEST = 32 << 20, 256
 #: Closing punctuation, which never begins a contraction.
 _CLOSING = b".,;:!?)*#$%&|"
+_CLOSED = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=\s)")
 #: The normaliser's and splitter's parts in vocabularies that are encoded by words.
 PARTS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -68,8 +70,9 @@ class Encoder:
     A vocabulary that drops white space, with words that end in a mark of their own, never joins
     characters across ASCII white space, and its special tokens hold none, so the ids of a text are
     those of its words in order. Closing punctuation after a letter or digit is a piece of its own in
-    such a vocabulary, and letters are lower-cased. Words repeat: the library sees what is new,
-    and a task remembers the words it met of late, in two generations of MEMORY bytes. This holds
+    such a vocabulary, and letters are lower-cased, so A-Z are lower-cased and the commonest closing
+    punctuation is set apart in the whole text first, which leaves fewer different words. Words repeat:
+    the library sees what is new, and a task remembers the words it met of late, in two generations of MEMORY bytes. This holds
     for vocabularies with the very normaliser and splitter of PARTS; others get whole texts.
     """
 
@@ -82,6 +85,7 @@ class Encoder:
         self.by_words = made["model"].get("end_of_word_suffix") == "</w>" and parts == PARTS and not any(
             t["lstrip"] or t["rstrip"] or t["content"].encode().split() != [t["content"].encode()] for t in made["added_tokens"]
         )
+        self.added = [t["content"].lower().encode() for t in made["added_tokens"]]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
         self.forget()
@@ -95,6 +99,10 @@ class Encoder:
 
     def word(self, word: bytes) -> bytes:
         """The ids of a new word: of what it is without closing punctuation and in lower case, and of the rest."""
+        if word.isalpha() and word.islower():
+            # as the normaliser and splitter have it: merges are left
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+            return struct.pack(f"<{len(ids)}I", *ids)
         core = word.rstrip(_CLOSING)
         if len(core) < len(word) and (core[-1:].isalnum() or (core and core[-1] >= 0x80 and unicodedata.normalize("NFC", core.decode()).lower().isalpha())):
             return self.known[core] + self.known[word[len(core) :]]
@@ -103,8 +111,8 @@ class Encoder:
             return self.known[lower]
         text = word.decode()
         if text.isalpha() and text.islower() and max(text) <= "\xff":
-            # as the normaliser and splitter have it: bytes' stand-ins and merges are left
-            ids = [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.stand_in))]
+            # bytes' stand-ins and merges are left
+            ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.stand_in))]
             return struct.pack(f"<{len(ids)}I", *ids)
         return self.whole(word)
 
@@ -117,6 +125,9 @@ class Encoder:
             if self.size > MEMORY:
                 self.known.old = {}  # the generation before the last
                 self.known, self.size = Known(self, self.known), 0
+            lower = text.lower()
+            if not any(t in lower for t in self.added):  # lower case must not make a special token
+                text = _CLOSED.sub(rb" \1", lower)
             yield b"".join(map(self.known.__getitem__, text.split()))
 
 
