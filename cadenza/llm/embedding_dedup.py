@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Forest, components, partitions, written
+from cadenza.llm.common import Forest, components, partitions, scratch, written
 
-#: Leading axes, vectors in a block, and vectors of an interval that is compared at once.
-AXES, BLOCK, LEAF = 8, 1024, 128
+#: Leading axes, vectors in a block, blocks of an interval, and vectors of an interval that is compared at once.
+AXES, BLOCK, INTERVAL, LEAF = 8, 1024, 32, 128
 #: Room for rounding in distances of projections.
 SLACK = 1e-9
 
@@ -32,22 +33,23 @@ SLACK = 1e-9
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, embedding) to (vec_id, label, width, vec): vec is null where nothing can link."""
     for batch in batches:
-        vec, width = [], []
-        for v, label in zip(batch.column(2), batch.column(1), strict=True):
-            raw = None
-            if v.is_valid and label.is_valid and v.values.null_count == 0:
-                x = v.values.to_numpy(zero_copy_only=False)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    norm = np.sqrt((x.astype(np.float64) ** 2).sum())
-                if len(x) and np.isfinite(norm) and norm > 0:
-                    raw = x.tobytes()
-            vec.append(raw)
-            width.append(len(v.values) if raw is not None else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(width, pa.int32()), pa.array(vec, pa.binary())], ["vec_id", "label", "width", "vec"])
+        lists = batch.column(2)
+        width = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten()
+        x = np.ascontiguousarray(values.to_numpy(zero_copy_only=False))
+        bad = ~np.isfinite(x) | values.is_null().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(width)), width)
+        ends = np.cumsum(width)
+        good = (width > 0) & (np.bincount(row, bad, len(width)) == 0) & (np.bincount(row, x != 0, len(width)) > 0) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        raw = x.tobytes()
+        vec = [raw[(e - w) * x.itemsize : e * x.itemsize] if ok else None for e, w, ok in zip(ends.tolist(), width.tolist(), good.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(good, width, 0), pa.int32(), mask=~good), pa.array(vec, pa.binary())], ["vec_id", "label", "width", "vec"])
 
 
-def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float64)
+def _matrix(vectors: bytes | memoryview, width: int, kind: str) -> np.ndarray:
+    """Rows in double precision, scaled by powers of two (which changes no cosine) so that no square overflows or vanishes."""
+    x = np.frombuffer(vectors, kind).reshape(-1, width).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def axes(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
             for batch in batches:
                 widths = batch.column(0).to_numpy()
                 for w in np.unique(widths).tolist():
-                    u = _units(_matrix(batch.column(1).filter(pa.array(widths == w)), w, kind))
+                    u = _units(_matrix(b"".join(batch.column(1).filter(pa.array(widths == w)).to_pylist()), w, kind))
                     yield w, u.T @ u
 
         return add(parts())
@@ -78,11 +80,9 @@ def axes(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
         return add((w, np.frombuffer(g, np.float64).reshape(w, w)) for b in batches for w, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
 
     shape = "width int, gram binary"
-    rows = classes.select("width", "vec").mapInArrow(first, shape).repartition(8).mapInArrow(second, shape).collect()
-    sums: dict[int, np.ndarray] = {}
-    for r in rows:
-        sums[r["width"]] = sums.get(r["width"], 0) + np.frombuffer(r["gram"], np.float64).reshape(r["width"], -1)
-    return {w: np.linalg.eigh(g)[1][:, ::-1][:, :AXES] for w, g in sums.items()}
+    # a matrix for each task and width, then for each of eight, then one, which the driver gets
+    rows = classes.select("width", "vec").mapInArrow(first, shape).repartition(8).mapInArrow(second, shape).repartition(1).mapInArrow(second, shape).collect()
+    return {r["width"]: np.linalg.eigh(np.frombuffer(r["gram"], np.float64).reshape(r["width"], -1))[1][:, ::-1][:, :AXES] for r in rows}
 
 
 def join_intervals(p: np.ndarray, q: np.ndarray, eps2: float, same: bool) -> Iterator[tuple[slice, slice]]:
@@ -147,23 +147,27 @@ def links(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
             cells = np.zeros((batch.num_rows, AXES), np.int64)
             for w in np.unique(widths).tolist():
                 of = widths == w
-                p = _units(_matrix(batch.column(3).filter(pa.array(of)), w, kind)) @ ax[w]
+                p = _units(_matrix(b"".join(batch.column(3).filter(pa.array(of)).to_pylist()), w, kind)) @ ax[w]
                 cells[of, : p.shape[1]] = np.floor(p / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in cells.T)], [*batch.schema.names, *(f"c{k}" for k in range(AXES))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in grid order to blocks of one label, width and first cell, with their bounding boxes."""
+        """Rows in grid order to blocks of one label, width and first cell, with their bounding boxes and intervals."""
         held, count, key = [], 0, None
+        interval = [None, 0, 0]  # key, blocks so far, name: the first block's
 
         def flush():
             t = pa.Table.from_batches(held).combine_chunks()
             w = key[1]
-            p = _units(_matrix(t.column("vec"), w, kind)) @ ax[w]
+            p = _units(_matrix(b"".join(t.column("vec").to_pylist()), w, kind)) @ ax[w]
             cid = t.column("cid").to_numpy()
+            if interval[0] != key or interval[1] == INTERVAL:
+                interval[:] = [key, 0, int(cid[0])]
+            interval[1] += 1
             box = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (np.pad(p.min(axis=0), (0, AXES - p.shape[1])), np.pad(p.max(axis=0), (0, AXES - p.shape[1])))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]]), pa.array([w], pa.int32()), pa.array([key[2]]), pa.array([int(cid[0])]), *box, pa.array([cid.tobytes()]), pa.array([t.column("n").to_numpy().tobytes()]), pa.array([b"".join(t.column("vec").to_pylist())])],
-                ["label", "width", "c0", "block", "low", "high", "cids", "ns", "vecs"],
+                [pa.array([key[0]]), pa.array([w], pa.int32()), pa.array([key[2]]), pa.array([interval[2]]), pa.array([int(cid[0])]), *box, pa.array([cid.tobytes()]), pa.array([t.column("n").to_numpy().tobytes()]), pa.array([b"".join(t.column("vec").to_pylist())])],
+                ["label", "width", "c0", "interval", "block", "low", "high", "cids", "ns", "vecs"],
             )
 
         for batch in batches:
@@ -189,24 +193,38 @@ def links(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
     placed = classes.select("cid", "label", "width", "vec", "n").mapInArrow(project, shape)
     blocks = written(
         placed.repartitionByRange(partitions(spark), "label", "width", *grid, "cid").sortWithinPartitions("label", "width", *grid, "cid")
-        .mapInArrow(cut, "label string, width int, c0 long, block long, low array<double>, high array<double>, cids binary, ns binary, vecs binary"),
+        .mapInArrow(cut, "label string, width int, c0 long, interval long, block long, low array<double>, high array<double>, cids binary, ns binary, vecs binary"),
         "blocks",
     )
-    right = blocks.select("label", "width", "c0", *(F.col(c).alias(f"r_{c}") for c in ("block", "low", "high", "cids", "ns", "vecs")))
-    left = blocks.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("c0", F.col("c0") + F.col("step"))
-    gap = F.lit(0.0)
-    for k in range(AXES):
-        between = F.greatest(F.lit(0.0), F.col("low")[k] - F.col("r_high")[k], F.col("r_low")[k] - F.col("high")[k])
-        gap = gap + between * between
-    pairs = left.join(right, ["label", "width", "c0"]).where(((F.col("step") == 1) | (F.col("block") <= F.col("r_block"))) & (gap <= eps * eps))
-    pairs = pairs.select("width", ((F.col("step") == 0) & (F.col("block") == F.col("r_block"))).alias("same"), "cids", "ns", "vecs", "r_cids", "r_ns", "r_vecs")
+    def gap(a: str, b: str) -> Column:
+        """The square of the distance of two boxes."""
+        out = F.lit(0.0)
+        for k in range(AXES):
+            between = F.greatest(F.lit(0.0), F.col(f"{a}low")[k] - F.col(f"{b}high")[k], F.col(f"{b}low")[k] - F.col(f"{a}high")[k])
+            out = out + between * between
+        return out
+
+    # only boxes are paired: of intervals, at most INTERVAL blocks each, then of their blocks
+    intervals = written(
+        blocks.groupBy("label", "width", "c0", "interval").agg(
+            F.array(*(F.min(F.col("low")[k]) for k in range(AXES))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(AXES))).alias("high"), F.collect_list(F.struct("block", "low", "high")).alias("of")
+        ),
+        "intervals",
+    )
+    right = intervals.select("label", "width", "c0", *(F.col(c).alias(f"r_{c}") for c in ("interval", "low", "high", "of")))
+    left = intervals.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("c0", F.col("c0") + F.col("step"))
+    near = left.join(right, ["label", "width", "c0"]).where(((F.col("step") == 1) | (F.col("interval") <= F.col("r_interval"))) & (gap("", "r_") <= eps * eps))
+    inner = near.select("width", ((F.col("step") == 0) & (F.col("interval") == F.col("r_interval"))).alias("home"), F.explode("of").alias("x"), "r_of").select("width", "home", "x", F.explode("r_of").alias("y"))
+    close = inner.where((~F.col("home") | (F.col("x.block") <= F.col("y.block"))) & (gap("x.", "y.") <= eps * eps)).select("width", F.col("x.block").alias("block"), F.col("y.block").alias("r_block"))
+    mine, theirs = blocks.select("block", "cids", "ns", "vecs"), blocks.select(*(F.col(c).alias(f"r_{c}") for c in ("block", "cids", "ns", "vecs")))
+    pairs = close.join(mine, "block").join(theirs, "r_block").select("width", (F.col("block") == F.col("r_block")).alias("same"), "cids", "ns", "vecs", "r_cids", "r_ns", "r_vecs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 w, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 cid, n, r_cid, m = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 3, 5, 6))
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), kind).reshape(-1, w).astype(np.float64) for c in (4, 7))
+                x, y = (_matrix(batch.column(c)[k].as_buffer(), w, kind) for c in (4, 7))
                 for_x, for_y, forest = join_blocks(x, y, n, m, ax[w], threshold, same)
                 child, parent = forest.edges(cid if same else np.concatenate([cid, r_cid]))
                 for a, count in ((cid, for_x), (r_cid, for_y)):
@@ -226,26 +244,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     double precision, is at least threshold. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null vec_id, link with nothing. n_links counts the other
     vec_id linked directly; component_id is the smallest vec_id reachable. Rows that repeat a vec_id
-    with the same vector are one vector, answered each. Other columns are not read.
+    with the same vector are one vector, answered each; with another vector they are another one of
+    that name. An empty table gives an empty result. Other columns are not read.
     """
-    kind = "<f8" if dict(vectors.dtypes)["embedding"] == "array<double>" else "<f4"
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     wide = "array<double>" if kind == "<f8" else "array<float>"
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(wide))
     clean = rows.mapInArrow(_clean, "vec_id long, label string, width int, vec binary")
     usable = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
-    members = written(clean.withColumn("cid", F.when(usable, F.xxhash64("label", "width", "vec"))), "vectors")
-    classes = written(
-        members.where("cid is not null").groupBy("cid").agg(
-            F.any_value("label").alias("label"), F.any_value("width").alias("width"), F.any_value("vec").alias("vec"), F.count_distinct("vec_id").alias("n"), F.min("vec_id").alias("first")
-        ),
-        "classes",
-    )
-    found = written(links(classes, kind, threshold), "links")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "cid")
-    rooted = classes.select("cid", "n", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = rooted.join(heads, "root").join(counts, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    return members.select("vec_id", "cid").join(answer, "cid", "left").select(
+    spark = vectors.sparkSession
+    marks = [F.when(usable, F.xxhash64(F.lit(k), "label", "width", "vec")).alias(f"_h{k}") for k in (1, 2)]
+    with scratch(spark) as keep:
+        members = written(clean.select("vec_id", "label", "width", "vec", *marks), "vectors")
+        # numbered as they are written, so that a number stays a class's
+        classes = written(
+            members.where("_h1 is not null").groupBy("_h1", "_h2").agg(
+                F.any_value("label").alias("label"), F.any_value("width").alias("width"), F.any_value("vec").alias("vec"), F.count_distinct("vec_id").alias("n"), F.min("vec_id").alias("first")
+            ).withColumn("cid", F.monotonically_increasing_id()),
+            "classes",
+        )
+        found = written(links(classes, kind, threshold), "links")
+        counts = found.where("n > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
+        roots = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "cid")
+        rooted = classes.select("_h1", "_h2", "cid", "n", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
+        heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        answer = rooted.join(heads, "root").join(counts, "cid", "left").select("_h1", "_h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+        answer = written(answer, "answer")
+        keep += [members, answer]
+    return members.select("vec_id", "_h1", "_h2").join(answer, ["_h1", "_h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

@@ -151,7 +151,8 @@ def plain_links(rows, threshold):
 
 
 def test_embedding_links_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "INTERVAL", 2)
     monkeypatch.setattr(embedding_dedup, "LEAF", 8)
     rng = np.random.default_rng(5)
     rows = []
@@ -172,6 +173,17 @@ def test_embedding_repeats_and_empty(spark):
     got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, rows), 0.98).collect())
     assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("None", 0, None)]
     assert embedding_dedup.near_duplicates(vectors(spark, []), 0.98).count() == 0
+    other = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1), (3, [0.001, 1.0], 1)]  # one name, two vectors
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(vectors(spark, other), 0.98).collect()))
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_embeddings_of_any_size(spark):
+    """Double components whose squares overflow or vanish."""
+    rows = [(1, [1e200, 0.0], "a"), (2, [1.0, 1e-3], "a"), (3, [1e-200, 0.0], "a"), (4, [0.0, 1e300], "a"), (5, [1e-320, 1e-300], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.98).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
 
 
 def key_of(line):
