@@ -6,6 +6,10 @@ frame_idx, cell, v). Statistics are per cell: partial sums before the shuffle, n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +83,42 @@ def bounding_box(mask: Column, width: int, height: int, margin: int = 8) -> Colu
     return F.struct(edge(ys, True, height).alias("y0"), edge(xs, True, width).alias("x0"), edge(ys, False, height).alias("y1"), edge(xs, False, width).alias("x1"))
 
 
-def drift(of: DataFrame, model: DataFrame, alpha: float = ALPHA, sigma: float = SIGMA, absolute: float = ABSOLUTE) -> DataFrame:
-    """(video, cell, frame_idx, mu): the mean after each frame, moved by alpha where the cell is background.
+def drift(frames: DataFrame, model: DataFrame, alpha: float = ALPHA, sigma: float = SIGMA, absolute: float = ABSOLUTE, stripe: int = 4096) -> DataFrame:
+    """(video, frame_idx, cell, mu): the mean after each of frames (video, frame_idx, px), moved by alpha where the cell is background.
 
-    The deviation stays as the warm-up left it. Truly sequential in a cell, independent between
-    cells: a fold over the cell's ordered values.
+    The deviation stays as the warm-up left it. A mean depends on the one before through the test for
+    foreground, so a cell is truly sequential, but cells are independent: stripes of cells are the
+    tasks. A stripe's frames stream by in order, and its means are all that is held.
     """
-    series = of.groupBy("video", "cell").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "v"))).alias("s")).join(model.select("video", "cell", "mean", "std"), ["video", "cell"])
-    start = F.struct(F.col("mean").alias("mu"), F.array().cast("array<double>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        mu = F.when(is_foreground(x["v"], state["mu"], F.col("std"), sigma, absolute), state["mu"]).otherwise(state["mu"] + alpha * (x["v"] - state["mu"]))
-        return F.struct(mu.alias("mu"), F.array_append(state["out"], mu).alias("out"))
-
-    folded = series.select("video", "cell", F.col("s.frame_idx").alias("at"), F.aggregate("s", start, step)["out"].alias("mu"))
-    return folded.select("video", "cell", F.explode(F.arrays_zip("at", "mu")).alias("e")).select("video", "cell", F.col("e.at").alias("frame_idx"), F.col("e.mu").alias("mu"))
+    size = F.greatest(F.ceil(F.size("px") / stripe), F.lit(1)).cast("int")
+    parts = frames.select("video", "frame_idx", "px", F.explode(F.sequence(F.lit(0), size - 1)).alias("stripe"))
+    parts = parts.select("video", "stripe", "frame_idx", F.slice("px", F.col("stripe") * stripe + 1, F.lit(stripe)).alias("px"))
+    start = model.select("video", F.floor(F.col("cell") / stripe).cast("int").alias("stripe"), F.struct("cell", "mean", "std").alias("m")).groupBy("video", "stripe").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    # the model comes before all frames
+    first = start.select("video", "stripe", F.lit(None).cast("long").alias("frame_idx"), F.col("m.mean").alias("px"), F.col("m.std").alias("std"))
+    rows = first.unionByName(parts.select("video", "stripe", F.col("frame_idx").cast("long").alias("frame_idx"), "px", F.lit(None).cast("array<double>").alias("std")))
+    kind = frames.schema["video"].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mu, std = None, None, None
+        for batch in batches:
+            keep, out = [], []
+            for k, (video, part, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                px = batch.column(3)[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if at is None:
+                    key, mu, std = (video, part), px, batch.column(4)[k].values.to_numpy(zero_copy_only=False)
+                    continue
+                if key != (video, part):
+                    continue  # no model
+                off = px - mu
+                far = np.abs(off)
+                mu = np.where((far / std > sigma) | (far > absolute), mu, mu + alpha * off)
+                keep.append(k)
+                out.append(mu)
+            at = pa.array(keep, pa.int64())
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0), *out])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), lists], ["video", "stripe", "frame_idx", "mu"])
+
+    ordered = rows.repartition("video", "stripe").sortWithinPartitions("video", "stripe", F.col("frame_idx").asc_nulls_first())
+    moved = ordered.mapInArrow(step, f"video {kind}, stripe int, frame_idx long, mu array<double>")
+    return moved.select("video", "frame_idx", "stripe", F.posexplode("mu").alias("k", "mu")).select("video", "frame_idx", (F.col("stripe") * stripe + F.col("k")).alias("cell"), "mu")

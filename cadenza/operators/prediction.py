@@ -24,8 +24,9 @@ RUN, REACH, SAMPLES, OVERLAP = 25, 20, 10, 5
 
 
 def numbered(frames: DataFrame) -> DataFrame:
-    """frames with k, their place in the video from 0."""
-    return frames.withColumn("k", F.row_number().over(W.partitionBy("video").orderBy("frame_idx")) - 1)
+    """frames with k, their place in the video from 0; frame_idx is unique in a video. Only keys are sorted, pixels are joined."""
+    places = frames.select("video", "frame_idx").withColumn("k", F.row_number().over(W.partitionBy("video").orderBy("frame_idx")) - 1)
+    return frames.join(places, ["video", "frame_idx"])
 
 
 def frame_type(k: Column, run: int = RUN) -> Column:

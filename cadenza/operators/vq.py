@@ -58,19 +58,21 @@ def encode(blocks: DataFrame, codebook: DataFrame, column: str = "levels") -> Da
         code, dist = np.zeros(len(valid), np.int32), np.zeros(len(valid))
         # the product ranks; what it leaves within rounding of the best is measured exactly
         close = rough <= rough.min(axis=1, keepdims=True) + 1e-6 * (1 + np.abs(rough).max(axis=1, keepdims=True))
-        at = np.nonzero(valid)[0]
-        for r, row in enumerate(close):
-            of = np.nonzero(row)[0]
-            d = ((centroids[of] - x[r]) ** 2).sum(axis=1)
-            code[at[r]], dist[at[r]] = codes[of[d.argmin()]], d.min()
+        row, of = np.nonzero(close)
+        d = ((centroids[of] - x[row]) ** 2).sum(axis=1)
+        order = np.lexsort((of, d, row))
+        first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        code[valid], dist[valid] = codes[of[first]], d[first]
         return pa.StructArray.from_arrays([pa.array(code, mask=~valid), pa.array(dist, mask=~valid)], ["code", "dist"])
 
     return blocks.withColumn("_n", nearest(F.col(column).cast("array<double>"))).select(*blocks.columns, "_n.code", "_n.dist")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
-    """codes with their centroid."""
-    return codes.join(F.broadcast(codebook.limit(CODES)), "code")
+    """codes with their centroid. The codebook is sent to all tasks: it has at most CODES rows of 64 numbers."""
+    if codebook.limit(CODES + 1).count() > CODES:
+        raise ValueError(f"a codebook has at most {CODES} codes")
+    return codes.join(F.broadcast(codebook), "code")
 
 
 def distortion(decoded: DataFrame, column: str = "levels") -> DataFrame:

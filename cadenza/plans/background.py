@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators import background as bg
 from cadenza.operators import prediction
+from cadenza.operators.sequence import with_previous
 from cadenza.plans.inputs import CELLS, FRAMES, MODEL, frames
 from cadenza.plans.registry import query
 
@@ -96,19 +96,17 @@ SELECT video, frame_idx, count(*) FILTER (WHERE mask OR prev) AS cells, count(*)
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that are foreground now or were in the frame before, and those just uncovered."""
     out = _foreground(spark, sf_dir)
-    prev = F.coalesce(F.lag("mask").over(W.partitionBy("video").orderBy("frame_idx")), F.transform("mask", lambda m: F.lit(False)))
-    out = out.withColumn("prev", prev)
+    out = with_previous(out.select("video", "frame_idx", "mask"), "video", "frame_idx", ["mask"])
+    out = out.withColumn("prev", F.coalesce("prev_mask", F.transform("mask", lambda m: F.lit(False))))
     count = lambda test: F.size(F.filter(F.zip_with("mask", "prev", test), lambda m: m)).cast("long")
     return out.select("video", "frame_idx", count(lambda a, b: a | b).alias("cells"), count(lambda a, b: ~a & b).alias("uncovered"))
 
 
-@query(f"""WITH RECURSIVE {MODEL}, series AS (SELECT video, frame_idx, v, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS i FROM cells WHERE cell = 0),
-drift AS (SELECT m.video, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS frame_idx, m.mean AS mu, m.std FROM model m WHERE m.cell = 0
-  UNION ALL SELECT d.video, s.i, s.frame_idx, CASE WHEN abs(s.v - d.mu) / d.std > 3.5 OR abs(s.v - d.mu) > 25 THEN d.mu ELSE d.mu + 0.002 * (s.v - d.mu) END, d.std
-  FROM drift d JOIN series s ON d.video = s.video AND s.i = d.i + 1)
-SELECT video, 0 AS cell, frame_idx, round(mu, 6) AS mu FROM drift WHERE i > 0""")
+@query(f"""WITH RECURSIVE {MODEL}, series AS (SELECT video, frame_idx, v, cell, row_number() OVER (PARTITION BY video, cell ORDER BY frame_idx) AS i FROM cells),
+drift AS (SELECT m.video, m.cell, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS frame_idx, m.mean AS mu, m.std FROM model m
+  UNION ALL SELECT d.video, d.cell, s.i, s.frame_idx, CASE WHEN abs(s.v - d.mu) / d.std > 3.5 OR abs(s.v - d.mu) > 25 THEN d.mu ELSE d.mu + 0.002 * (s.v - d.mu) END, d.std
+  FROM drift d JOIN series s ON d.video = s.video AND d.cell = s.cell AND s.i = d.i + 1)
+SELECT video, CAST(cell AS INTEGER) AS cell, frame_idx, round(mu, 6) AS mu FROM drift WHERE i > 0""")
 def ema_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell 0 of each video."""
     of = frames(spark, sf_dir)
-    every = bg.cells(of)
-    return bg.drift(every.where("cell = 0"), bg.statistics(every)).withColumn("mu", _r("mu"))
+    return bg.drift(of, bg.statistics(bg.cells(of))).withColumn("mu", _r("mu"))

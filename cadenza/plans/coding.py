@@ -113,11 +113,20 @@ def nonzero_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vq.nonzero(_levels(spark, sf_dir)).select("video", "frame_idx", F.size(F.filter("levels", lambda v: v != 0)).cast("long").alias("nonzero"))
 
 
-@query()
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).withColumn("pairs", io.pack_pairs(rle.encode(F.col("levels")))).withColumn("packed", io.deflate()("pairs"))
+
+
+@query(f"WITH {_RLE} SELECT video, frame_idx, 3 * count(*) AS rle_bytes, 3 * count(*) AS inflated_bytes FROM runs GROUP BY video, frame_idx")
 def coded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each frame's run lengths, and again after they were deflated and inflated."""
+    return _packed(spark, sf_dir).select("video", "frame_idx", F.octet_length("pairs").cast("long").alias("rle_bytes"), F.octet_length(io.inflate("packed")).cast("long").alias("inflated_bytes"))
+
+
+@query()
+def deflated_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each frame's coded levels: run lengths, deflated."""
-    packed = _levels(spark, sf_dir).withColumn("pairs", io.pack_pairs(rle.encode(F.col("levels")))).withColumn("packed", io.deflate()("pairs"))
-    return packed.select("video", "frame_idx", F.octet_length("pairs").alias("rle_bytes"), F.octet_length("packed").alias("coded_bytes"))
+    return _packed(spark, sf_dir).select("video", "frame_idx", F.octet_length("packed").alias("coded_bytes"))
 
 
 @query(f"""WITH {FRAMES}, u AS (SELECT video, frame_idx, unnest(px) AS a, unnest(coalesce(lag(px) OVER (PARTITION BY video ORDER BY frame_idx), list_transform(px, lambda x: NULL))) AS b FROM frames)
@@ -132,7 +141,7 @@ def ip_frame_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(spark, sf_dir).select("video", "frame_idx", prediction.frame_type(F.col("k")).alias("type"), F.floor(F.col("k") / 26).alias("run"))
 
 
-_PAIRED = NUMBERED + """, canon AS (SELECT video + 1 AS video, k, px FROM numbered WHERE video < 9),
+_PAIRED = NUMBERED + """, canon AS (SELECT video + 1 AS video, k, px FROM numbered),
 lens AS (SELECT video, max(k) AS last FROM canon GROUP BY video)"""
 
 
@@ -167,11 +176,11 @@ def canonical_delta_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NUMBERED}, d AS (SELECT video, k, k // 26 AS g, unnest(px) AS a, unnest(coalesce(lag(px) OVER (PARTITION BY video ORDER BY k), px)) AS b, generate_subscripts(px, 1) - 1 AS cell FROM numbered),
-delta AS (SELECT video, k, g, cell, CASE WHEN k % 26 = 0 THEN CAST(trunc(a) AS BIGINT) ELSE CAST(trunc(a) AS BIGINT) - CAST(trunc(b) AS BIGINT) END AS d FROM d WHERE cell < 4)
+delta AS (SELECT video, k, g, cell, CASE WHEN k % 26 = 0 THEN CAST(trunc(a) AS BIGINT) ELSE CAST(trunc(a) AS BIGINT) - CAST(trunc(b) AS BIGINT) END AS d FROM d)
 SELECT video, CAST(k AS BIGINT) AS k, CAST(cell AS INTEGER) AS cell, CAST(sum(d) OVER (PARTITION BY video, g, cell ORDER BY k) AS BIGINT) AS v FROM delta""")
 def open_loop_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four cells, from whole-level changes summed since the last I frame."""
-    of = numbered(spark, sf_dir).select("video", "k", F.posexplode("px").alias("cell", "v")).where("cell < 4").withColumn("v", F.col("v").cast("long"))
+    """Cells from whole-level changes summed since the last I frame."""
+    of = numbered(spark, sf_dir).select("video", "k", F.posexplode("px").alias("cell", "v")).withColumn("v", F.col("v").cast("long"))
     prev = F.lag("v").over(W.partitionBy("video", "cell").orderBy("k"))
     kind = prediction.frame_type(F.col("k"))
     deltas = of.select("video", "k", "cell", kind.alias("type"), F.when(kind == "I", F.col("v")).otherwise(F.col("v") - prev).alias("d"))

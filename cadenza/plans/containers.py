@@ -24,12 +24,18 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame_idx", chunk.alias("c")))).alias("r"), F.count("*").alias("n"))
     header = F.struct(F.col("n").alias("frames"), F.lit(30.0).alias("fps"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(0).alias("flags"))
     record = {"fps": 30.0, "n_cycles": 4, "n_canonicals": 2, "quality": 50, "use_temporal": True, "use_bbox": False, "cycle_map": _MAP}
-    meta = F.concat(F.lit('{"total_frames":'), F.col("n").cast("string"), F.lit("," + container.to_json(record)[1:]))
+    meta = F.concat(F.lit('{"video":'), F.col("video").cast("string"), F.lit(',"total_frames":'), F.col("n").cast("string"), F.lit("," + container.to_json(record)[1:]))
     path = folder(spark)
     container.write(container.assemble(grouped.select("video", header.alias("header"), meta.alias("metadata"), F.col("r.c").alias("chunks"))), path)
     return container.files(spark, path)
 
 
+def _named(stored: DataFrame) -> DataFrame:
+    """Chunks with the video that their file's metadata names."""
+    video = F.get_json_object(F.col("payload").cast("string"), "$.video").cast("int")
+    return stored.join(stored.where(F.col("kind") == container.METADATA).select("path", video.alias("video")), "path")
+
+
 @query(f"WITH {FRAMES} SELECT count(*) AS frames, CAST(30 AS DOUBLE) AS fps, 8 AS width, 8 AS height, 0 AS flags FROM frames GROUP BY video")
 def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.headers(_stored(spark, sf_dir)).select("header.*")
@@ -39,20 +45,19 @@ def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 sizes AS (SELECT video, frame_idx, count(*) FILTER (WHERE v <> 0) + count(DISTINCT island) FILTER (WHERE v = 0) AS n FROM marked GROUP BY video, frame_idx)
 SELECT video, CAST(row_number() OVER (PARTITION BY video ORDER BY frame_idx) - 1 AS INTEGER) AS pos, 2 AS kind, frame_idx % 2 = 0 AS compressed, 3 * n AS payload_bytes FROM sizes""")
 def container_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of all files but the metadata; a file's video is that of its first frame."""
+    """The chunks of all files but the metadata, which names the video."""
     stored = container.chunks(_stored(spark, sf_dir))
-    first = stored.where("kind = 2").groupBy("path").agg(F.sum(F.octet_length("payload")).alias("size"), F.count("*").alias("n"))
-    wanted = _levels(spark, sf_dir).withColumn("p", F.octet_length(io.pack_pairs(rle.encode(F.col("levels"))))).groupBy("video").agg(F.sum("p").alias("size"), F.count("*").alias("n"))
-    named = stored.where("kind = 2").join(first.join(wanted, ["size", "n"]).select("path", "video"), "path")
-    return named.select("video", "pos", "kind", "compressed", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    return _named(stored).where("kind = 2").select("video", "pos", "kind", "compressed", F.octet_length("payload").cast("long").alias("payload_bytes"))
 
 
-@query()
+@query(f"WITH {FRAMES} SELECT video, count(*) + 1 AS chunks, CAST(0 AS BIGINT) AS unaccounted FROM frames GROUP BY video")
 def container_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each file's size from its chunks, and on disk."""
+    """Each file's chunks, and its bytes on disk less those that its chunks account for."""
     stored = _stored(spark, sf_dir)
-    sizes = container.bytes_written(container.chunks(stored))
-    return sizes.join(stored.select("path", F.octet_length("content").alias("on_disk")), "path").select("bytes", "on_disk")
+    of = container.chunks(stored)
+    counts = _named(of).groupBy("path", "video").agg(F.count("*").alias("chunks"))
+    sizes = container.bytes_written(of).join(stored.select("path", F.octet_length("content").alias("on_disk")), "path")
+    return counts.join(sizes, "path").select("video", "chunks", (F.col("on_disk") - F.col("bytes")).alias("unaccounted"))
 
 
 @query(f"WITH {FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY video) SELECT n AS total_frames, CAST(p - 1 AS INTEGER) AS pos, CAST([0, 1, 1, 0][p] AS INTEGER) AS kind, CAST([0, 0, 1, 1][p] AS INTEGER) AS idx FROM n, range(1, 5) t(p)")
@@ -78,12 +83,12 @@ def describe_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NUMBERED}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY video), c AS (SELECT video, unnest(range(0, n - 15, 4)) AS start FROM n WHERE n >= 16)
-SELECT c.video, CAST(c.start // 4 AS INTEGER) AS clip, c.start, round(sum(f.px[1]), 4) AS total FROM c JOIN numbered f ON f.video = c.video AND f.k >= c.start AND f.k < c.start + 16 GROUP BY c.video, c.start""")
+SELECT c.video, CAST(c.start // 4 AS INTEGER) AS clip, c.start, round(sum(list_sum(f.px)), 4) AS total FROM c JOIN numbered f ON f.video = c.video AND f.k >= c.start AND f.k < c.start + 16 GROUP BY c.video, c.start""")
 def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of 16 frames, 4 apart, and the sum of their first cells."""
+    """Clips of 16 frames, 4 apart, and the sum of their cells."""
     of = numbered(spark, sf_dir).withColumn("k", F.col("k").cast("long"))
     index = io.clip_index(of.groupBy("video").agg(F.count("*").alias("n")), 16, 4)
-    total = F.aggregate("px", F.lit(0.0), lambda s, p: s + F.get(p, 0))
+    total = F.aggregate(F.flatten("px"), F.lit(0.0), lambda s, v: s + v)
     return io.clips(of, index, 16).select("video", "clip", "start", F.round(total, 4).alias("total"))
 
 
@@ -96,10 +101,12 @@ def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("video", F.posexplode(places(F.col("n"))).alias("i", "k"))
 
 
-@query()
+@query(f"""WITH {FRAMES}, u AS (SELECT video, frame_idx, unnest(px) AS v FROM frames)
+SELECT video, frame_idx, format('frame_{{:06d}}.png', frame_idx) AS name, CAST(sum(CAST(trunc(least(greatest(v, 0), 255)) AS INTEGER)) AS BIGINT) AS total FROM u GROUP BY video, frame_idx""")
 def export_png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame as a PNG file's bytes."""
-    return io.png(frames(spark, sf_dir), 8, 8).select("video", "frame_idx", "name", F.octet_length("content").alias("bytes"))
+    """Every frame as a PNG file's bytes: its name, and the sum of the pixels read back from it."""
+    files = io.png(frames(spark, sf_dir), 8, 8)
+    return files.select("video", "frame_idx", "name", F.aggregate(io.read_png("content"), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query("""WITH p AS (SELECT f AS frame_idx, c, 8.0 + 4.8 * sin(2 * pi() * (f * (4 / 60.0))) AS cx, 8.0 + 3.2 * sin(4 * pi() * (f * (4 / 60.0))) AS cy FROM range(60) a(f), range(256) b(c))
@@ -125,6 +132,6 @@ def container_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     container.write(coded, path)
     stored = container.files(spark, path)
     decoded = codec.decode(stored, key="path")
-    share = stored.select((F.octet_length("content") / F.lit(120 * 64 * 64 * 3)).alias("share"))
-    errors = decoded.join(of.select("frame_idx", F.col("pixels").alias("raw")), "frame_idx").select("frame_idx", codec._change("pixels", "raw").alias("error"))
-    return errors.join(F.broadcast(share.limit(1))).select("frame_idx", F.round("error", 4).alias("error"), F.round("share", 5).alias("share"))
+    share = stored.select("path", (F.octet_length("content") / F.lit(120 * 64 * 64 * 3)).alias("share"))
+    errors = decoded.join(of.select("frame_idx", F.col("pixels").alias("raw")), "frame_idx").select("path", "frame_idx", codec._change("pixels", "raw").alias("error"))
+    return errors.join(share, "path").select("frame_idx", F.round("error", 4).alias("error"), F.round("share", 5).alias("share"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators import prediction
 from cadenza.session import ship
 
 
@@ -24,7 +25,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("video").orderBy("frame_idx")) - 1)
+    return prediction.numbered(frames(spark, sf_dir))
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -31,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: made once, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/cadenza-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each application, unless PYTHONPATH has it already."""
     root = Path(__file__).resolve().parent
