@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import radians, tan
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.session import written
+
 # Sample and frame rates.
 GYRO_HZ, FRAME_HZ = 200, 30
 
@@ -71,45 +76,44 @@ def turn(gx: Column, gy: Column, gz: Column, dt: Column) -> Column:
     return quaternion(*(F.when(still, 0.0).otherwise(g * s) for g in (gx, gy, gz)), F.when(still, 1.0).otherwise(F.cos(angle / 2)))
 
 
+def products(q: np.ndarray) -> np.ndarray:
+    """Products of the first 1, 2, ... of n quaternions (rows x, y, z, w), in a logarithmic number of steps."""
+    out, reach = q.copy(), 1
+    while reach < len(out):
+        a, b = out[:-reach], out[reach:]
+        vector = a[:, 3:] * b[:, :3] + b[:, 3:] * a[:, :3] + np.cross(a[:, :3], b[:, :3])
+        scalar = a[:, 3] * b[:, 3] - (a[:, :3] * b[:, :3]).sum(axis=1)
+        out = np.concatenate([out[:reach], np.column_stack([vector, scalar])])
+        out /= np.linalg.norm(out, axis=1, keepdims=True)
+        reach *= 2
+    return out
+
+
 def integrate(samples: DataFrame) -> DataFrame:
     """(video, seq, q): the orientation after each sample of (video, seq, gx, gy, gz, dt).
 
     The quaternion product is associative, so a recording is cut into runs of 4,096 samples; products
-    within runs are prefix sums in parallel, and only one product for each run is chained.
+    within runs are prefix products in parallel, and so are those of the runs, of which a recording has
+    few. A sample without a rate counts as one at rest.
     """
     run = 4096
 
-    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y, z, w = a
-        m = np.array([[w, -z, y, x], [z, w, -x, y], [-y, x, w, z], [-x, -y, -z, w]])
-        return m @ b
-
     def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        q, out = np.array([0.0, 0.0, 0.0, 1.0]), []
-        for d in pdf[["x", "y", "z", "w"]].to_numpy():
-            q = product(q, d)
-            q /= np.linalg.norm(q)
-            out.append(q)
-        return pdf[["video", "run", "seq"]].assign(**dict(zip("xyzw", np.array(out).T, strict=True)))
-
-    kind = samples.schema["video"].dataType.simpleString()
-    turns = samples.select("video", "seq", F.floor(F.col("seq") / run).alias("run"), turn(*(F.col(c) for c in ("gx", "gy", "gz", "dt"))).alias("d")).select("video", "run", "seq", "d.*")
-    shape = f"video {kind}, run long, seq long, x double, y double, z double, w double"
-    local = turns.groupBy("video", "run").applyInPandas(prefix, shape)
-    ends = local.groupBy("video", "run").agg(F.max_by(F.struct("x", "y", "z", "w"), "seq").alias("e"))
-    # the product of all runs before: a fold over one quaternion for each run
-    runs = ends.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("run", "e"))).alias("r"))
-    one = quaternion(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    state = F.struct(one.alias("q"), F.array(one).alias("out"))
+        out = products(pdf[["x", "y", "z", "w"]].to_numpy())
+        return pdf[["video", "run", "seq"]].assign(**dict(zip("xyzw", out.T, strict=True)))
 
-    def chain(s: Column, r: Column) -> Column:
-        q = normalise(multiply(s["q"], r["e"]))
-        return F.struct(q.alias("q"), F.array_append(s["out"], q).alias("out"))
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        out = np.concatenate([[[0.0, 0.0, 0.0, 1.0]], products(pdf[["x", "y", "z", "w"]].to_numpy())[:-1]])
+        return pdf[["video", "run"]].assign(**{f"b{c}": v for c, v in zip("xyzw", out.T, strict=True)})
 
-    before = runs.select("video", F.explode(F.arrays_zip(F.col("r.run").alias("run"), F.slice(F.aggregate("r", state, chain)["out"], F.lit(1), F.size("r")).alias("q"))).alias("b"))
-    joined = local.join(before.select("video", F.col("b.run").alias("run"), F.col("b.q").alias("before")), ["video", "run"])
-    return joined.select("video", "seq", normalise(multiply(F.col("before"), quaternion(*(F.col(c) for c in "xyzw")))).alias("q"))
+    kind = samples.schema["video"].dataType.simpleString()
+    turns = samples.select("video", "seq", F.floor(F.col("seq") / run).alias("run"), turn(*(F.coalesce(c, F.lit(0.0)) for c in ("gx", "gy", "gz", "dt"))).alias("d")).select("video", "run", "seq", "d.*")
+    local = written(turns.groupBy("video", "run").applyInPandas(prefix, f"video {kind}, run long, seq long, x double, y double, z double, w double"), "turns")
+    ends = local.groupBy("video", "run").agg(F.max_by(F.struct("x", "y", "z", "w"), "seq").alias("e")).select("video", "run", "e.*")
+    before = ends.groupBy("video").applyInPandas(chain, f"video {kind}, run long, bx double, by double, bz double, bw double")
+    return local.join(before, ["video", "run"]).select("video", "seq", normalise(multiply(quaternion(*(F.col(f"b{c}") for c in "xyzw")), quaternion(*(F.col(c) for c in "xyzw")))).alias("q"))
 
 
 def emits(seq: Column, gyro_hz: int = GYRO_HZ, frame_hz: int = FRAME_HZ) -> Column:
@@ -121,37 +125,61 @@ def frame_of(seq: Column, gyro_hz: int = GYRO_HZ, frame_hz: int = FRAME_HZ) -> C
     return (F.floor(seq * frame_hz / gyro_hz) - 1).cast("long")
 
 
+def relative(frames: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """frames (video, frame_idx, q, ...) with q relative to the reference of their video.
+
+    reference has (video, frame_idx, q): a reference set at a frame holds from there to the next one. Where
+    none holds yet, or none is given, the reference is the video's first orientation.
+    """
+    first = frames.where("q is not null").groupBy("video").agg(F.min_by("q", "frame_idx").alias("_first"))
+    rows = frames.join(first, "video", "left")
+    if reference is None:
+        rows = rows.withColumn("_set", F.lit(None).cast(frames.schema["q"].dataType))
+    else:
+        sets = reference.select("video", F.col("frame_idx").alias("_from"), F.col("q").alias("_set"))
+        spans = sets.withColumn("_to", F.lead("_from").over(W.partitionBy("video").orderBy("_from")))
+        # references are set by hand, a few a video: each frame lies in the span of one at most
+        rows = rows.join(spans, (rows["video"] == spans["video"]) & (rows["frame_idx"] >= spans["_from"]) & (spans["_to"].isNull() | (rows["frame_idx"] < spans["_to"])), "left").drop(spans["video"])
+    turned = multiply(conjugate(F.coalesce("_set", "_first")), F.col("q"))
+    return rows.withColumn("q", F.when(F.col("q").isNotNull(), turned)).select(*frames.columns)
+
+
 def warp(frames: DataFrame, width: int, height: int) -> DataFrame:
     """frames (.., px array<double> of height x width, q) with px resampled bilinearly through the homography of q.
 
-    Places beyond the frame take the nearest edge. px is the frame before warping.
+    Places beyond the frame take the nearest edge. px is the frame before warping; channels may follow
+    one another in a pixel. Without q a frame stays as it is.
     """
-    f, cx, cy = focal(width), width / 2, height / 2
-    camera = np.array([[f, 0, cx], [0, f, cy], [0, 0, 1]])
+    maps = F.array(*(h for row in homography(F.col("q"), width, height) for h in row)).alias("_map")
     ys, xs = np.mgrid[0:height, 0:width]
     grid = np.stack([xs.ravel(), ys.ravel(), np.ones(width * height)])
 
-    def run(batches):
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for px, q in zip(pdf["px"], pdf["q"], strict=True):
-                x, y, z, w = (q[c] for c in "xyzw")
-                r = np.array([
-                    [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
-                    [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
-                    [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
-                ])
-                # where each place of the result comes from
-                u, v, s = np.linalg.inv(camera @ r @ np.linalg.inv(camera)) @ grid
-                u, v = np.clip(u / s, 0, width - 1), np.clip(v / s, 0, height - 1)
-                u0, v0 = np.minimum(u.astype(int), max(0, width - 2)), np.minimum(v.astype(int), max(0, height - 2))
-                du, dv = u - u0, v - v0
-                m = np.asarray(px).reshape(height, width)
-                u1, v1 = np.minimum(u0 + 1, width - 1), np.minimum(v0 + 1, height - 1)
-                out.append((m[v0, u0] * (1 - du) + m[v0, u1] * du) * (1 - dv) + (m[v1, u0] * (1 - du) + m[v1, u1] * du) * dv)
-            pdf = pdf.copy()
-            pdf["px"] = out
-            yield pdf.drop(columns=["q"])
-
-    rows = frames.select(*[c for c in frames.columns if c not in ("px", "q")], "px", "q")
-    return rows.mapInPandas(run, rows.drop("q").schema)
+            for px, h in zip(batch.column("px"), batch.column("_map").to_pylist(), strict=True):
+                m = px.values.to_numpy(zero_copy_only=False).reshape(height, width, -1)
+                if h is not None and None not in h:
+                    # where each place of the result comes from
+                    u, v, s = np.linalg.inv(np.array(h).reshape(3, 3)) @ grid
+                    u, v = np.clip(u / s, 0, width - 1), np.clip(v / s, 0, height - 1)
+                    u0, v0 = np.minimum(u.astype(int), max(0, width - 2)), np.minimum(v.astype(int), max(0, height - 2))
+                    du, dv = (u - u0)[:, None], (v - v0)[:, None]
+                    u1, v1 = np.minimum(u0 + 1, width - 1), np.minimum(v0 + 1, height - 1)
+                    m = (m[v0, u0] * (1 - du) + m[v0, u1] * du) * (1 - dv) + (m[v1, u0] * (1 - du) + m[v1, u1] * du) * dv
+                out.append(m.ravel())
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0), *out])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], [*batch.schema.names[:-2], "px"])
+
+    kept = [c for c in frames.columns if c not in ("px", "q")]
+    rows = frames.select(*kept, F.col("px").cast("array<double>").alias("px"), maps)
+    return rows.mapInArrow(run, rows.drop("_map").schema)
+
+
+def pack(quaternions: np.ndarray) -> bytes:
+    """Rows x, y, z, w as half floats, one after another."""
+    return np.asarray(quaternions, np.float64).reshape(-1, 4).astype("<f2").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f2").reshape(-1, 4).astype(np.float32)

@@ -7,17 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, order: str, columns: list[str], prefix: str = "last_") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, order: str, columns: list[str], prefix: str = "last_", bucket_s: int = 86_400) -> DataFrame:
     """Each row of left with the columns of the last row of right in its key before it, by (time, order).
 
-    Both sides are unioned and windowed once by key: no row is paired that isn't the answer.
+    time is a timestamp, or a number of seconds. Both sides are unioned and windowed by key and bucket of time, so that a
+    hot key is many tasks; a bucket's last row of right is carried to the buckets after it, a row each.
+    No row is paired that isn't the answer.
     """
     held = F.struct(*columns)
-    both = left.select("*", F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("_r"), F.lit(1).alias("_side")).unionByName(
-        right.select(F.col(key), F.col(time), F.col(order), held.alias("_r"), F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    last = F.last("_r", ignorenulls=True).over(W.partitionBy(key).orderBy(time, order, F.col("_side").desc()).rowsBetween(W.unboundedPreceding, -1))
-    return both.withColumn("_last", last).where("_side = 1").select(*left.columns, *(F.col(f"_last.{c}").alias(f"{prefix}{c}") for c in columns))
+    kind = dict(left.dtypes)[time]
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000 if kind.startswith(("timestamp", "date")) else F.col(time)
+    bucket = F.floor(seconds / bucket_s)
+    theirs = right.select(F.col(key), F.col(time), F.col(order), held.alias("_r"), F.lit(0).alias("_side"))
+    both = left.select("*", F.lit(None).cast(theirs.schema["_r"].dataType).alias("_r"), F.lit(1).alias("_side")).unionByName(theirs, allowMissingColumns=True).withColumn("_bucket", bucket)
+    last = F.last("_r", ignorenulls=True).over(W.partitionBy(key, "_bucket").orderBy(time, order, F.col("_side").desc()).rowsBetween(W.unboundedPreceding, -1))
+    ends = both.groupBy(key, "_bucket").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct(time, order))).alias("_end"))
+    carried = ends.select(key, "_bucket", F.last("_end", ignorenulls=True).over(W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    joined = both.withColumn("_last", last).where("_side = 1").join(carried.withColumnsRenamed({key: "_k", "_bucket": "_b"}), (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_bucket").eqNullSafe(F.col("_b"))), "left")
+    return joined.withColumn("_last", F.coalesce("_last", "_carried")).select(*left.columns, *(F.col(f"_last.{c}").alias(f"{prefix}{c}") for c in columns))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: Column, right_at: Column, reach: int, tag: str = "_b") -> DataFrame:

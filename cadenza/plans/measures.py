@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import imu, metrics
 from cadenza.plans.coding import _BACK, _round_trip
-from cadenza.plans.inputs import frames, table
+from cadenza.plans.inputs import FRAMES, frames, table
 from cadenza.plans.registry import query
 
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -80,16 +80,38 @@ def imu_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).where(imu.emits(seq)).select("video", "seq", imu.frame_of(seq).alias("frame"))
 
 
-@query()
+def scan_sql(source: str, levels: int = 17) -> str:
+    """CTEs from d (video, seq, gx, gy, gz, dt) to scanned (video, seq, x, y, z, w): products of all turns so far, by doubling."""
+    out = f"""d AS ({source}), rates AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS rate FROM d),
+s0 AS (SELECT video, seq, CASE WHEN rate * dt <= 1e-10 THEN 0 ELSE gx / rate * sin(rate * dt / 2) END AS x, CASE WHEN rate * dt <= 1e-10 THEN 0 ELSE gy / rate * sin(rate * dt / 2) END AS y,
+  CASE WHEN rate * dt <= 1e-10 THEN 0 ELSE gz / rate * sin(rate * dt / 2) END AS z, CASE WHEN rate * dt <= 1e-10 THEN 1 ELSE cos(rate * dt / 2) END AS w FROM rates)"""
+    for k in range(levels):
+        lags = ", ".join(f"coalesce(lag({c}, {1 << k}) OVER o, {int(c == 'w')}) AS a{c}" for c in "xyzw")
+        out += f""", l{k} AS (SELECT *, {lags} FROM s{k} WINDOW o AS (PARTITION BY video ORDER BY seq)),
+s{k + 1} AS (SELECT video, seq, aw * x + ax * w + ay * z - az * y AS x, aw * y + ay * w + az * x - ax * z AS y, aw * z + az * w + ax * y - ay * x AS z, aw * w - ax * x - ay * y - az * z AS w FROM l{k})"""
+    return out + f""", scanned AS (SELECT video, seq, x / n AS x, y / n AS y, z / n AS z, w / n AS w FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS n FROM s{levels}))"""
+
+
+_GYRO = "SELECT CAST(l_orderkey % 8 AS BIGINT) AS video, row_number() OVER (PARTITION BY l_orderkey % 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_tax AS gx, l_discount AS gy, l_quantity / 50 AS gz, 1 / 200.0 AS dt FROM lineitem"
+
+
+@query(f"""WITH {scan_sql(_GYRO)} SELECT video, seq * 30 // 200 - 1 AS frame, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in 'xyzw')} FROM scanned WHERE seq * 30 // 200 > (seq - 1) * 30 // 200""")
 def imu_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orientation at each camera frame."""
     out = imu.integrate(_samples(spark, sf_dir)).where(imu.emits(F.col("seq")))
-    return out.select("video", imu.frame_of(F.col("seq")).alias("frame"), *(F.round(f"q.{c}", 6).alias(c) for c in "xyzw"))
+    return out.select("video", imu.frame_of(F.col("seq")).alias("frame"), *((F.round(f"q.{c}", 6) + F.lit(0.0)).alias(c) for c in "xyzw"))
 
 
-@query()
+#: The angle of a frame's turn about the view's axis.
+_ANGLE = "(frame_idx % 10 * 0.01)"
+
+
+@query(f"""WITH {FRAMES}, spots AS (SELECT f.video, f.frame_idx, f.px, least(greatest(4 + cos({_ANGLE}) * (p % 8 - 4) + sin({_ANGLE}) * (p // 8 - 4), 0), 7) AS u,
+  least(greatest(4 - sin({_ANGLE}) * (p % 8 - 4) + cos({_ANGLE}) * (p // 8 - 4), 0), 7) AS v FROM frames f, range(64) g(p)),
+whole AS (SELECT *, least(CAST(floor(u) AS BIGINT), 6) AS u0, least(CAST(floor(v) AS BIGINT), 6) AS v0 FROM spots)
+SELECT video, frame_idx, round(sum((px[v0 * 8 + u0 + 1] * (1 - u + u0) + px[v0 * 8 + u0 + 2] * (u - u0)) * (1 - v + v0) + (px[v0 * 8 + u0 + 9] * (1 - u + u0) + px[v0 * 8 + u0 + 10] * (u - u0)) * (v - v0)) / 64, 6) AS mean FROM whole GROUP BY video, frame_idx""")
 def stabilise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block frames warped by a small turn that grows with the frame; the mean of the result."""
+    """Block frames warped by a small turn about the view's axis that grows with the frame; the mean of the result."""
     a = F.col("frame_idx") % 10 * 0.01
     q = imu.quaternion(F.lit(0.0), F.lit(0.0), F.sin(a / 2), F.cos(a / 2))
     return imu.warp(frames(spark, sf_dir).withColumn("q", q), 8, 8).select("video", "frame_idx", F.round(F.aggregate("px", F.lit(0.0), lambda s, x: s + x) / 64, 6).alias("mean"))
@@ -148,7 +170,14 @@ def ssim_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("video", "frame_idx", F.round(metrics.block_ssim(F.col("a"), F.col("b")), 6).alias("ssim"))
 
 
-@query()
+#: How often each of 8 places is met by the 11 of a window about each, mirrored at the edges; then the moments of windows.
+_WINDOWS = _BACK + """, hits AS (SELECT p, CASE WHEN p + o < 0 THEN -1 - p - o WHEN p + o > 7 THEN 15 - p - o ELSE p + o END AS q, count(*) AS n FROM range(8) a(p), range(-5, 6) b(o) GROUP BY 1, 2),
+local AS (SELECT c.video, c.frame_idx, y.p AS y, x.p AS x, sum(y.n * x.n * a) / 121 AS ma, sum(y.n * x.n * b) / 121 AS mb, sum(y.n * x.n * a * a) / 121 AS saa, sum(y.n * x.n * b * b) / 121 AS sbb, sum(y.n * x.n * a * b) / 121 AS sab
+  FROM pairs c JOIN hits y ON y.q = c.cell // 8 JOIN hits x ON x.q = c.cell % 8 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {_WINDOWS} SELECT video, frame_idx, round(avg(((2 * ma * mb + 6.5025) * (2 * (sab - ma * mb) + 58.5225)) / ((ma ** 2 + mb ** 2 + 6.5025) * (saa - ma ** 2 + sbb - mb ** 2 + 58.5225))), 6) AS ssim
+FROM local GROUP BY video, frame_idx""")
 def ssim_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index under a sliding window of 11 x 11, mirrored at the edges."""
     return _pairs(spark, sf_dir).select("video", "frame_idx", F.round(metrics.ssim(8, 8)("a", "b"), 6).alias("ssim"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.plans.inputs import FRAMES, MODEL, stream_path
+from cadenza.plans.measures import scan_sql
 from cadenza.plans.registry import query
 from cadenza.streaming import online
 
@@ -28,11 +29,14 @@ def stream_motion_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.drain(online.motion_energy(_frames(spark, sf_dir))).withColumn("energy", F.round("energy", 6))
 
 
-@query()
+_GYRO = "SELECT user_id AS video, event_id AS seq, sin(value) AS gx, cos(value) AS gy, 0.5 AS gz, 1 / 200.0 AS dt FROM events"
+
+
+@query(f"WITH {scan_sql(_GYRO, 14)} SELECT video, seq, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in 'xyzw')} FROM scanned")
 def stream_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = online.source(spark, stream_path(spark, sf_dir, "events"))
     samples = e.select(F.col("user_id").alias("video"), F.col("event_id").alias("seq"), F.sin("value").alias("gx"), F.cos("value").alias("gy"), F.lit(0.5).alias("gz"), F.lit(1 / 200).alias("dt"))
-    return online.drain(online.orientation(samples)).select("video", "seq", *(F.round(c, 6).alias(c) for c in "xyzw"))
+    return online.drain(online.orientation(samples)).select("video", "seq", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xyzw"))
 
 
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
