@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 
 from cadenza.functions.transform import KB, KG, KR, basis, quant_table
 from cadenza.operators import cycles as seg
+from cadenza.operators import imu
 from cadenza.operators.background import ABSOLUTE, FLOOR, SIGMA, WARMUP
 from cadenza.operators.prediction import RUN
 from cadenza.operators.sequence import with_previous
+from cadenza.session import written
 from cadenza.sources import container
 
 _PAIR = np.dtype([("value", ">i2"), ("run", "u1")])
@@ -223,32 +225,81 @@ def segment(frames: DataFrame, **limits) -> DataFrame:
     return seg.representatives(seg.cycles(signal, seg.boundaries(signal, **limits)))
 
 
+def stabilised(frames: DataFrame, orientation: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """frames turned back to the view of their reference; those without an orientation stay as they are.
+
+    orientation and reference are (video, frame_idx, q); see imu.relative().
+    """
+    size = frames.select("height", "width").first()
+    if size is None:
+        return frames
+    # a homography depends on the frame's size, which a table of one camera shares
+    of = imu.relative(frames.join(orientation.select("video", "frame_idx", "q"), ["video", "frame_idx"], "left"), reference)
+    rows = of.select(*frames.columns, imu.mapping(size["width"], size["height"]))
+    at = frames.columns.index("pixels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, h, w, matrix in zip(*(batch.column(c).to_pylist() for c in ("pixels", "height", "width", "_map")), strict=True):
+                out.append(raw if matrix is None else np.clip(np.rint(imu.resample(np.frombuffer(raw, np.uint8).reshape(h, w, 3).astype(np.float64), matrix)), 0, 255).astype(np.uint8).tobytes())
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return rows.mapInArrow(run, frames.schema)
+
+
+def _packed(orientation: DataFrame, kind: str) -> DataFrame:
+    """(video, imu): the orientations of a video's frames in order, as half floats."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("frame_idx")[["x", "y", "z", "w"]].to_numpy()
+        return pd.DataFrame({"video": pdf["video"].iloc[:1], "imu": [imu.pack(rows)]})
+
+    return orientation.where("q is not null").select("video", "frame_idx", "q.*").groupBy("video").applyInPandas(pack, f"video {kind}, imu binary")
+
+
 def encode(
     frames: DataFrame, quality: int = 25, fps: float = 30.0, warmup: int = WARMUP, boxed: bool = True, temporal: bool = True,
-    codebook: np.ndarray | None = None, skip: float | None = None, **limits,
+    codebook: np.ndarray | None = None, skip: float | None = None, orientation: DataFrame | None = None, **limits,
 ) -> DataFrame:
     """(video, content): a container file's bytes for each video. limits are those of cycles.boundaries().
 
     temporal: predict frames of representatives, or code each against the background. codebook: code
     representatives as its codes. skip: a cycle whose mean squared difference from its representative
-    is below it only repeats it.
+    is below it only repeats it. orientation: (video, frame_idx, q), by which frames are stabilised before
+    they are coded, and which is stored.
+
+    A background model is sent once to each group of frames, and what is coded of representatives is
+    written, since the other cycles are coded against it. Only payloads meet in a video's file.
     """
     book = None if codebook is None else unpack_codebook(pack_codebook(codebook))
     kind = frames.schema["video"].dataType.simpleString()
-    model = moments(frames, warmup)
-    cycles = segment(frames, **limits)
+    if orientation is not None:
+        frames = written(stabilised(frames, orientation), "stabilised")
+    model = written(moments(frames, warmup), "model")
+    cycles = written(segment(frames, **limits), "cycles")
     starts = cycles.select("video", F.col("start_frame").alias("frame_idx"), F.struct("cycle_id", "start_frame", "is_canonical", "canonical_cycle").alias("c"))
     order = W.partitionBy("video").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
     tagged = frames.select("video", F.col("frame_idx").cast("long").alias("frame_idx")).join(starts, ["video", "frame_idx"], "left").withColumn("c", F.last("c", ignorenulls=True).over(order))
-    places = tagged.select("video", "frame_idx", "c.cycle_id", "c.is_canonical", "c.canonical_cycle", (F.col("frame_idx") - F.col("c.start_frame")).cast("int").alias("k"))
-    rows = frames.withColumn("frame_idx", F.col("frame_idx").cast("long")).select("video", "frame_idx", "pixels").join(places, ["video", "frame_idx"]).join(model, "video")
-
-    def representative(pdf: pd.DataFrame) -> pd.DataFrame:
+    places = tagged.select("video", "frame_idx", "c.cycle_id", "c.is_canonical", "c.canonical_cycle", (F.col("frame_idx") - F.col("c.start_frame")).cast("int").alias("k")).withColumn("g", F.floor(F.col("k") / (RUN + 1)))
+    places = written(places, "places")
+    rows = frames.withColumn("frame_idx", F.col("frame_idx").cast("long")).select("video", "frame_idx", "pixels").join(places, ["video", "frame_idx"])
+    group = ["video", "cycle_id", "g"]
+    of = [f"of_{c}" for c in group]
+    models = places.select(*(F.col(c).alias(n) for c, n in zip(group, of, strict=True)), F.col("is_canonical").alias("canonical")).distinct().join(model, F.col("of_video") == model["video"]).drop("video")
+
+    def parts(of: pd.DataFrame) -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]:
+        r = of.iloc[0]
+        size = (int(r["height"]), int(r["width"]))
+        mean, std = (np.frombuffer(r[c]).reshape(*size, 3) for c in ("mean", "std"))
+        return size, mean, std, _pixels(r["plate"], *size)
+
+    def representative(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        first = pdf.iloc[0]
-        size = (int(first["height"]), int(first["width"]))
-        mean, std = (np.frombuffer(first[c]).reshape(*size, 3) for c in ("mean", "std"))
-        plate, prev, before, payloads, decoded = _pixels(first["plate"], *size), None, None, [], []
+        size, mean, std, plate = parts(of)
+        prev, before, payloads, decoded = None, None, [], []
         for px in pdf["pixels"]:
             frame = _pixels(px, *size)
             mask = _mask(frame, mean, std)
@@ -265,62 +316,72 @@ def encode(
             decoded.append(prev.astype(np.uint8).tobytes())
         return pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": (pdf["k"] % (RUN + 1) != 0).astype("int32"), "payload": payloads, "decoded": decoded})
 
-    shape = f"video {kind}, cycle_id int, k int, type int, payload binary, decoded binary"
-    runs = rows.where("is_canonical").withColumn("g", F.floor(F.col("k") / (RUN + 1)))
-    coded = runs.groupBy("video", "cycle_id", "g").applyInPandas(representative, shape)
+    def other(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        size, mean, std, plate = parts(of)
+        payloads, errors = [], []
+        for px, decoded in zip(pdf["pixels"], pdf["decoded"], strict=True):
+            frame = _pixels(px, *size)
+            ref = plate if decoded is None else _pixels(decoded, *size)
+            errors.append(float(((frame - ref).astype(np.float64) ** 2).mean()))
+            # where the reference shows foreground that the frame lacks is coded too
+            payloads.append(encode_frame(frame - ref, _mask(frame, mean, std) | _mask(ref, mean, std), quality, boxed))
+        return pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": np.int32(1), "payload": payloads, "error": errors})
+
+    shape = f"video {kind}, cycle_id int, k int, type int, payload binary"
+    runs = rows.where("is_canonical").select(*group, "k", "pixels").groupBy(*group)
+    coded = written(runs.cogroup(models.where("canonical").groupBy(*of)).applyInPandas(representative, f"{shape}, decoded binary"), "coded")
+    refs = coded.select("video", F.col("cycle_id").alias("canonical_cycle"), "k", "decoded")
+    rest = rows.where("not is_canonical").join(refs, ["video", "canonical_cycle", "k"], "left").select(*group, "k", "pixels", "decoded")
+    deltas = rest.groupBy(*group).cogroup(models.where("not canonical").groupBy(*of)).applyInPandas(other, f"{shape}, error double")
+    every = coded.drop("decoded").withColumn("error", F.lit(0.0)).unionByName(deltas).join(cycles.select("video", "cycle_id", "is_canonical", "canonical_cycle"), ["video", "cycle_id"])
+    head = model.select("video", "height", "width", "plate")
+    head = head.withColumn("imu", F.lit(None).cast("binary")) if orientation is None else head.join(_packed(orientation, kind), "video", "left")
+
+    def file(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        of = of.iloc[0]
+        held = [c for _, c in pdf.sort_values(["cycle_id", "k"]).groupby("cycle_id")]
+        first = [c.iloc[0] for c in held]
+        canon = {c["cycle_id"]: i for i, c in enumerate(c for c in first if c["is_canonical"])}
+        chunks, others, order, n = [container.pack_chunk(1, of["plate"])], [], [], len(pdf)
+        flags = (container.TEMPORAL | (container.BBOX if boxed else 0) | (0 if book is None else container.VQ)) if temporal else 0
+        if of["imu"] is not None:
+            chunks.append(container.pack_chunk(container.IMU, of["imu"]))
+        if book is not None:
+            chunks.append(container.pack_chunk(7, pack_codebook(book), compress=False))
+        for c, f in zip(first, held, strict=True):
+            if c["is_canonical"]:
+                heads = [struct.pack(">BI", t, len(p)) if temporal else struct.pack(">I", len(p)) for t, p in zip(f["type"], f["payload"], strict=True)]
+                body = struct.pack(">IB", len(f), flags) + b"".join(h + p for h, p in zip(heads, f["payload"], strict=True))
+                chunks.append(container.pack_chunk(2, body))
+                order.append([0, canon[c["cycle_id"]]])
+            elif skip is not None and f["error"].mean() < skip:
+                order.append([1, len(others)])
+                others.append(container.pack_chunk(5, struct.pack(">HH", canon[c["canonical_cycle"]], len(f))))
+            else:
+                body = struct.pack(">HI", canon[c["canonical_cycle"]], len(f)) + b"".join(struct.pack(">I", len(p)) + p for p in f["payload"])
+                order.append([1, len(others)])
+                others.append(container.pack_chunk(3, body))
+        meta = {"total_frames": n, "fps": fps, "n_cycles": len(held), "n_canonicals": len(canon), "quality": quality, "use_temporal": temporal, "use_bbox": boxed, "cycle_map": order}
+        tail = container.pack_chunk(container.METADATA, json.dumps(meta).encode() + b"\n", compress=False)
+        content = b"".join([container.pack_header(n, fps, int(of["width"]), int(of["height"])), *chunks, *others, tail])
+        return pd.DataFrame({"video": pdf["video"].iloc[:1], "content": [content]})
 
-    def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            payloads, errors = [], []
-            for r in pdf.itertuples():
-                size = (r.height, r.width)
-                frame = _pixels(r.pixels, *size)
-                mean, std = (np.frombuffer(b).reshape(*size, 3) for b in (r.mean, r.std))
-                ref = _pixels(r.plate if r.decoded is None else r.decoded, *size)
-                errors.append(float(((frame - ref).astype(np.float64) ** 2).mean()))
-                # where the reference shows foreground that the frame lacks is coded too
-                payloads.append(encode_frame(frame - ref, _mask(frame, mean, std) | _mask(ref, mean, std), quality, boxed))
-            yield pd.DataFrame({"video": pdf["video"], "cycle_id": pdf["cycle_id"], "k": pdf["k"], "type": np.int32(1), "payload": payloads, "error": errors})
+    return every.groupBy("video").cogroup(head.groupBy("video")).applyInPandas(file, f"video {kind}, content binary")
 
-    refs = coded.select("video", F.col("cycle_id").alias("canonical_cycle"), "k", "decoded")
-    rest = rows.where("not is_canonical").join(refs, ["video", "canonical_cycle", "k"], "left")
-    deltas = rest.select("video", "cycle_id", "k", "height", "width", "pixels", "plate", "mean", "std", "decoded").mapInPandas(other, f"video {kind}, cycle_id int, k int, type int, payload binary, error double")
-    every = coded.drop("decoded").withColumn("error", F.lit(0.0)).unionByName(deltas)
-    pieces = every.groupBy("video", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("k", "type", "payload"))).alias("f"), F.avg("error").alias("error"))
-    whole = pieces.join(cycles.select("video", "cycle_id", "is_canonical", "canonical_cycle"), ["video", "cycle_id"])
-    whole = whole.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("cycle_id", "is_canonical", "canonical_cycle", "f", "error"))).alias("cycles")).join(model.select("video", "height", "width", "plate"), "video")
-
-    def file(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            canon = {c["cycle_id"]: i for i, c in enumerate(c for c in r.cycles if c["is_canonical"])}
-            chunks, others, order, n = [container.pack_chunk(1, r.plate)], [], [], sum(len(c["f"]) for c in r.cycles)
-            flags = (container.TEMPORAL | (container.BBOX if boxed else 0) | (0 if book is None else container.VQ)) if temporal else 0
-            if book is not None:
-                chunks.append(container.pack_chunk(7, pack_codebook(book), compress=False))
-            for c in r.cycles:
-                if c["is_canonical"]:
-                    heads = [struct.pack(">BI", f["type"], len(f["payload"])) if temporal else struct.pack(">I", len(f["payload"])) for f in c["f"]]
-                    body = struct.pack(">IB", len(c["f"]), flags) + b"".join(h + f["payload"] for h, f in zip(heads, c["f"], strict=True))
-                    chunks.append(container.pack_chunk(2, body))
-                    order.append([0, canon[c["cycle_id"]]])
-                elif skip is not None and c["error"] < skip:
-                    order.append([1, len(others)])
-                    others.append(container.pack_chunk(5, struct.pack(">HH", canon[c["canonical_cycle"]], len(c["f"]))))
-                else:
-                    body = struct.pack(">HI", canon[c["canonical_cycle"]], len(c["f"])) + b"".join(struct.pack(">I", len(f["payload"])) + f["payload"] for f in c["f"])
-                    order.append([1, len(others)])
-                    others.append(container.pack_chunk(3, body))
-            meta = {"total_frames": n, "fps": fps, "n_cycles": len(r.cycles), "n_canonicals": len(canon), "quality": quality, "use_temporal": temporal, "use_bbox": boxed, "cycle_map": order}
-            tail = container.pack_chunk(container.METADATA, json.dumps(meta).encode() + b"\n", compress=False)
-            out.append(b"".join([container.pack_header(n, fps, r.width, r.height), *chunks, *others, tail]))
-        return pd.DataFrame({"video": pdf["video"], "content": out})
 
-    return whole.groupBy("video").applyInPandas(file, f"video {kind}, content binary")
+def orientations(content: bytes, lenient: bool = False) -> np.ndarray | None:
+    """The stored orientations, rows x, y, z, w, or None."""
+    return next((imu.unpack(c[4]) for c in container.parse_chunks(content, lenient) if c[1] == container.IMU), None)
 
 
 def decode_content(content: bytes, lenient: bool = False) -> Iterator[np.ndarray]:
-    """The frames of a container in playback order; without a cycle map representatives come first."""
+    """The frames of a container in playback order, one at a time."""
+    for cycle in decode_cycles(content, lenient):
+        yield from cycle
+
+
+def decode_cycles(content: bytes, lenient: bool = False) -> Iterator[Iterator[np.ndarray]]:
+    """The cycles of a container in playback order, each an iterator of frames; without a cycle map representatives come first."""
     _, _, width, height, _ = container.parse_header(content)
     chunks = list(container.parse_chunks(content, lenient))
     meta = next((json.loads(c[4]) for c in chunks if c[1] == container.METADATA), {})
@@ -364,19 +425,20 @@ def decode_content(content: bytes, lenient: bool = False) -> Iterator[np.ndarray
     order = meta.get("cycle_map") or [[0, i] for i in range(len(canon))] + [[1, i] for i in range(len(others))]
     for kind, index in order:
         if kind == 0 and index < len(canon):
-            yield from canon[index]
+            yield iter(canon[index])
         elif kind == 1 and index < len(others):
-            yield from other(*others[index])
+            yield other(*others[index])
 
 
 def decode(containers: DataFrame, key: str = "video", lenient: bool = False) -> DataFrame:
-    """(key, frame_idx, height, width, pixels) of containers (key, content)."""
+    """(key, frame_idx, cycle, height, width, pixels) of containers (key, content): cycle counts in playback order."""
     kind = containers.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf[key], pdf["content"], strict=True):
-                for k, frame in enumerate(decode_content(bytes(content), lenient)):
-                    yield pd.DataFrame({key: [name], "frame_idx": [k], "height": [frame.shape[0]], "width": [frame.shape[1]], "pixels": [frame.astype(np.uint8).tobytes()]})
+                frames = ((c, f) for c, cycle in enumerate(decode_cycles(bytes(content), lenient)) for f in cycle)
+                for k, (c, frame) in enumerate(frames):
+                    yield pd.DataFrame({key: [name], "frame_idx": [k], "cycle": [c], "height": [frame.shape[0]], "width": [frame.shape[1]], "pixels": [frame.astype(np.uint8).tobytes()]})
 
-    return containers.select(key, "content").mapInPandas(run, f"{key} {kind}, frame_idx long, height int, width int, pixels binary")
+    return containers.select(key, "content").mapInPandas(run, f"{key} {kind}, frame_idx long, cycle int, height int, width int, pixels binary")

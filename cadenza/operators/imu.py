@@ -121,6 +121,11 @@ def emits(seq: Column, gyro_hz: int = GYRO_HZ, frame_hz: int = FRAME_HZ) -> Colu
     return F.floor(seq * frame_hz / gyro_hz) > F.floor((seq - 1) * frame_hz / gyro_hz)
 
 
+def at_frames(samples: DataFrame) -> DataFrame:
+    """(video, frame_idx, q): the orientation at each camera frame of a recording (video, seq from 1, gx, gy, gz, dt)."""
+    return integrate(samples).where(emits(F.col("seq"))).select("video", frame_of(F.col("seq")).alias("frame_idx"), "q")
+
+
 def frame_of(seq: Column, gyro_hz: int = GYRO_HZ, frame_hz: int = FRAME_HZ) -> Column:
     return (F.floor(seq * frame_hz / gyro_hz) - 1).cast("long")
 
@@ -144,35 +149,41 @@ def relative(frames: DataFrame, reference: DataFrame | None = None) -> DataFrame
     return rows.withColumn("q", F.when(F.col("q").isNotNull(), turned)).select(*frames.columns)
 
 
+def mapping(width: int, height: int) -> Column:
+    """The column _map: the nine entries of the homography of q, null without q."""
+    return F.when(F.col("q").isNotNull(), F.array(*(h for row in homography(F.col("q"), width, height) for h in row))).alias("_map")
+
+
+def resample(image: np.ndarray, matrix: list[float] | None) -> np.ndarray:
+    """An image (height, width, channels) through a homography, bilinearly; places beyond it take the nearest edge."""
+    if matrix is None or None in matrix:
+        return image
+    height, width = image.shape[:2]
+    ys, xs = np.mgrid[0:height, 0:width]
+    # where each place of the result comes from
+    u, v, s = np.linalg.inv(np.array(matrix).reshape(3, 3)) @ np.stack([xs.ravel(), ys.ravel(), np.ones(width * height)])
+    u, v = np.clip(u / s, 0, width - 1), np.clip(v / s, 0, height - 1)
+    u0, v0 = np.minimum(u.astype(int), max(0, width - 2)), np.minimum(v.astype(int), max(0, height - 2))
+    u1, v1 = np.minimum(u0 + 1, width - 1), np.minimum(v0 + 1, height - 1)
+    du, dv = (u - u0)[:, None], (v - v0)[:, None]
+    out = (image[v0, u0] * (1 - du) + image[v0, u1] * du) * (1 - dv) + (image[v1, u0] * (1 - du) + image[v1, u1] * du) * dv
+    return out.reshape(image.shape)
+
+
 def warp(frames: DataFrame, width: int, height: int) -> DataFrame:
     """frames (.., px array<double> of height x width, q) with px resampled bilinearly through the homography of q.
 
     Places beyond the frame take the nearest edge. px is the frame before warping; channels may follow
     one another in a pixel. Without q a frame stays as it is.
     """
-    maps = F.array(*(h for row in homography(F.col("q"), width, height) for h in row)).alias("_map")
-    ys, xs = np.mgrid[0:height, 0:width]
-    grid = np.stack([xs.ravel(), ys.ravel(), np.ones(width * height)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for px, h in zip(batch.column("px"), batch.column("_map").to_pylist(), strict=True):
-                m = px.values.to_numpy(zero_copy_only=False).reshape(height, width, -1)
-                if h is not None and None not in h:
-                    # where each place of the result comes from
-                    u, v, s = np.linalg.inv(np.array(h).reshape(3, 3)) @ grid
-                    u, v = np.clip(u / s, 0, width - 1), np.clip(v / s, 0, height - 1)
-                    u0, v0 = np.minimum(u.astype(int), max(0, width - 2)), np.minimum(v.astype(int), max(0, height - 2))
-                    du, dv = (u - u0)[:, None], (v - v0)[:, None]
-                    u1, v1 = np.minimum(u0 + 1, width - 1), np.minimum(v0 + 1, height - 1)
-                    m = (m[v0, u0] * (1 - du) + m[v0, u1] * du) * (1 - dv) + (m[v1, u0] * (1 - du) + m[v1, u1] * du) * dv
-                out.append(m.ravel())
+            out = [resample(px.values.to_numpy(zero_copy_only=False).reshape(height, width, -1), h).ravel() for px, h in zip(batch.column("px"), batch.column("_map").to_pylist(), strict=True)]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0), *out])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], [*batch.schema.names[:-2], "px"])
 
     kept = [c for c in frames.columns if c not in ("px", "q")]
-    rows = frames.select(*kept, F.col("px").cast("array<double>").alias("px"), maps)
+    rows = frames.select(*kept, F.col("px").cast("array<double>").alias("px"), mapping(width, height))
     return rows.mapInArrow(run, rows.drop("_map").schema)
 
 

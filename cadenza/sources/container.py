@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 MAGIC = b"DFY\x01"
 HEADER, CHUNK = struct.Struct(">QfHHB"), struct.Struct(">BBI")
 KINDS = {1: "background", 2: "cycle_canon", 3: "cycle_delta", 4: "imu", 5: "frame_skip", 6: "metadata", 7: "codebook"}
-METADATA = 6
+IMU, METADATA = 4, 6
 TEMPORAL, BBOX, VQ = 1, 2, 4
 LEVEL = 6
 
@@ -75,6 +75,40 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
 
 
+def discover(spark: SparkSession, path: str, suffix: str = ".dfy") -> DataFrame:
+    """(path, length) of the files with suffix below a folder, or of one file, by path. An error if there is none, or the file has another suffix."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if "." in name and not name.endswith(suffix):
+        raise ValueError(f"expected a file with suffix {suffix} or a folder, not {path}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length").orderBy("path")
+    if found.limit(1).count() == 0:
+        raise FileNotFoundError(f"no {suffix} files below {path}")
+    return found
+
+
+def describe(of: DataFrame) -> DataFrame:
+    """(path, frames, fps, width, height, seconds, bytes, raw_bytes, ratio, n_cycles, n_canonicals, quality) of (path, content)."""
+    h = headers(of).select("path", "header.*").join(of.select("path", F.octet_length("content").cast("long").alias("bytes")), "path")
+    meta = metadata(chunks(of)).select("path", "meta.n_cycles", "meta.n_canonicals", "meta.quality")
+    raw = F.col("frames") * F.col("width") * F.col("height") * 3
+    seconds = F.when(F.col("fps") > 0, F.col("frames") / F.col("fps")).otherwise(0.0)
+    return h.join(meta, "path", "left").select(
+        "path", "frames", "fps", "width", "height", seconds.alias("seconds"), "bytes", raw.alias("raw_bytes"), (raw / F.col("bytes")).alias("ratio"), "n_cycles", "n_canonicals", "quality"
+    )
+
+
+def orientations(of: DataFrame) -> DataFrame:
+    """(path, k, x, y, z, w) from the orientation chunks of (path, kind, payload): half floats, little-endian, read without Python."""
+    def half(at: Column) -> Column:
+        bits = F.conv(F.concat(F.substr(F.hex("payload"), at + 3, F.lit(2)), F.substr(F.hex("payload"), at + 1, F.lit(2))), 16, 10).cast("int")
+        sign = F.when(bits.bitwiseAND(F.lit(0x8000)) != 0, -1.0).otherwise(1.0)
+        exponent, fraction = F.shiftright(bits, 10).bitwiseAND(F.lit(31)), bits.bitwiseAND(F.lit(1023)) / 1024.0
+        return sign * F.when(exponent == 0, fraction * 2.0**-14).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 15))
+
+    rows = of.where((F.col("kind") == IMU) & (F.octet_length("payload") >= 8)).select("path", "payload", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("payload") / 8).cast("int") - 1)).alias("k"))
+    return rows.select("path", "k", *(half(F.col("k") * 16 + 4 * j).alias(c) for j, c in enumerate("xyzw")))
+
+
 def headers(of: DataFrame) -> DataFrame:
     """(path, header struct) of (path, content), without Python: the numbers are read from the bytes."""
     def number(start: int, size: int) -> Column:
