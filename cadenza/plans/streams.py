@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.plans.inputs import FRAMES, MODEL, stream_path
+from cadenza.plans.inputs import CELLS, FRAMES, MODEL, signal, stream_path
 from cadenza.plans.measures import scan_sql
 from cadenza.plans.registry import query
+from cadenza.plans.segments import _CUTS, LONGEST, SHORTEST, VALLEY
 from cadenza.streaming import online
 
 
@@ -29,6 +30,35 @@ def stream_motion_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.drain(online.motion_energy(_frames(spark, sf_dir))).withColumn("energy", F.round("energy", 6))
 
 
+_DRIFT = CELLS + """, series AS (SELECT *, row_number() OVER (PARTITION BY video, cell ORDER BY frame_idx) AS i FROM cells),
+warm AS (SELECT video, cell, avg(v) AS mean, greatest(stddev_samp(v), 2.0) AS std FROM series WHERE i <= 20 GROUP BY video, cell),
+drift AS (SELECT video, cell, CAST(20 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS frame_idx, mean AS mu, std, false AS fore FROM warm
+  UNION ALL SELECT d.video, d.cell, s.i, s.frame_idx, CASE WHEN abs(s.v - d.mu) / d.std > 3.5 OR abs(s.v - d.mu) > 25 THEN d.mu ELSE d.mu + 0.002 * (s.v - d.mu) END, d.std,
+    abs(s.v - d.mu) / d.std > 3.5 OR abs(s.v - d.mu) > 25 FROM drift d JOIN series s ON d.video = s.video AND d.cell = s.cell AND s.i = d.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_DRIFT} SELECT video, frame_idx, count(*) FILTER (WHERE fore) AS foreground, round(avg(mu), 6) AS level FROM drift WHERE i > 20 GROUP BY video, frame_idx")
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drifting background after a warm-up of 20 frames."""
+    out = online.drain(online.drift(_frames(spark, sf_dir), warmup=20)).where("warm")
+    return out.select("video", "frame_idx", "foreground", F.round("level", 6).alias("level"))
+
+
+@query(f"WITH RECURSIVE {_CUTS} SELECT 0 AS video, t FROM cuts, n WHERE t > 0 AND t < n.n - 16")
+def stream_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cuts of the hourly signal that are certain before it ends."""
+    path = online.folder(spark)
+    signal(spark, sf_dir).select("video", F.col("t").cast("long").alias("t"), "energy").write.parquet(path)
+    return online.drain(online.cuts(online.source(spark, path), SHORTEST, LONGEST, valley=VALLEY))
+
+
+@query("""SELECT a.event_id AS id, b.event_id AS other_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the purchases of their user within twelve hours after, as a join of two streams."""
+    side = lambda kind: online.source(spark, stream_path(spark, sf_dir, "events")).where(F.col("event_type") == kind).withColumn("id", F.col("event_id"))
+    return online.drain(online.matched(side("click"), side("purchase"), "user_id", "12 HOURS"))
+
+
 _GYRO = "SELECT user_id AS video, event_id AS seq, sin(value) AS gx, cos(value) AS gy, 0.5 AS gz, 1 / 200.0 AS dt FROM events"
 
 

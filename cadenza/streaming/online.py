@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cadenza.operators.background import FLOOR
+from cadenza.operators.background import ABSOLUTE, ALPHA, FLOOR, SIGMA, WARMUP
+from cadenza.operators.cycles import LONGEST, SHORTEST, VALLEY, WIDTH
+from cadenza.operators.sequence import gaussian_kernel
 from cadenza.session import shared_dir
 
 
@@ -55,6 +57,92 @@ def background(cells: DataFrame) -> DataFrame:
     )
 
 
+def drift(frames: DataFrame, warmup: int = WARMUP, alpha: float = ALPHA, sigma: float = SIGMA, absolute: float = ABSOLUTE) -> DataFrame:
+    """(video, frame_idx, warm, foreground, level) of a stream of frames: the whole background model as state.
+
+    The first warmup frames add up to mean and deviation; then the deviation is frozen and the mean
+    of each background cell moves by alpha. foreground counts a frame's cells off the mean before it (all
+    while it isn't warm), level is the mean of the means after it.
+    """
+    kind = frames.schema["video"].dataType.simpleString()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts)).sort_values("frame_idx")
+        n, mean, spread = (state.get[0], *map(np.array, state.get[1:])) if state.exists else (0, None, None)
+        warm, off, level = [], [], []
+        for px in pdf["px"]:
+            px = np.asarray(px, float)
+            warm.append(n >= warmup)
+            if n < warmup:  # spread: sum of squares about the mean
+                off.append(len(px))
+                mean, spread = (np.zeros(len(px)), np.zeros(len(px))) if n == 0 else (mean, spread)
+                n += 1
+                before = px - mean
+                mean = mean + before / n
+                spread = spread + before * (px - mean)
+                if n == warmup:
+                    spread = np.maximum(np.sqrt(spread / max(n - 1, 1)), FLOOR)
+            else:
+                n += 1
+                far = np.abs(px - mean)
+                fore = (far / spread > sigma) | (far > absolute)
+                off.append(int(fore.sum()))
+                mean = np.where(fore, mean, mean + alpha * (px - mean))
+            level.append(float(mean.mean()))
+        state.update((n, mean.tolist(), spread.tolist()))
+        yield pd.DataFrame({"video": key[0], "frame_idx": pdf["frame_idx"], "warm": warm, "foreground": off, "level": level})
+
+    return frames.groupBy("video").applyInPandasWithState(
+        step, f"video {kind}, frame_idx long, warm boolean, foreground long, level double", "n long, mean array<double>, spread array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def cuts(signal: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, width: int = WIDTH, valley: float = VALLEY) -> DataFrame:
+    """(video, t): the cuts of a stream of energies (video, t from 0, energy), each as soon as it is certain.
+
+    They are those of cycles.boundaries(), whose smoothing and neighbours look width + 1 points ahead: a
+    cut is known that many points later, and the last width + 1 points of a stream are still open. The state
+    is what smoothing still needs, the largest smooth value, and the last cut; no list of energies grows.
+    """
+    kernel = np.array(gaussian_kernel(width))
+    kind = signal.schema["video"].dataType.simpleString()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts)).sort_values("t")
+        # first: the place of the first energy held; at: the next place to judge
+        first, at, top, last, held = state.get if state.exists else (0, 0, float("-inf"), 0, [])
+        x = np.concatenate([np.array(held, float), pdf["energy"].to_numpy(float)])
+        end, out = first + len(x) - width - 1, []  # places before end are certain
+        if first + len(x) >= 2 * width + 1 and at < end:
+            padded = np.concatenate([np.zeros(width), x]) if first == 0 else x
+            start = 0 if first == 0 else first + width
+            smooth = np.convolve(padded, kernel, "valid")  # of places from start on
+            for t in range(at, end):
+                s = smooth[t - start]
+                top = max(top, s)
+                low = t > 0 and s < top * valley and s <= smooth[t - 1 - start] and s <= smooth[t + 1 - start]
+                if t > 0 and t - last >= shortest and (t - last > longest or low):
+                    out.append(t)
+                    last = t
+            at = end
+            keep = max(0, at - 1 - width)
+            x, first = x[keep - first :], keep
+        state.update((int(first), int(at), float(top), int(last), x.tolist()))
+        yield pd.DataFrame({"video": [key[0]] * len(out), "t": np.array(out, np.int64)})
+
+    return signal.groupBy("video").applyInPandasWithState(step, f"video {kind}, t long", "first long, at long, top double, last long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Rows (key, ts, id) of two streams that share a key, right at most an interval after left: (id, other_id).
+
+    Both watermarks bound the state: a row is forgotten once no partner can come.
+    """
+    a = left.select(F.col(key).alias("_a"), F.col("ts").cast("timestamp").alias("_at"), F.col("id")).withWatermark("_at", late)
+    b = right.select(F.col(key).alias("_b"), F.col("ts").cast("timestamp").alias("_bt"), F.col("id").alias("other_id")).withWatermark("_bt", late)
+    return a.join(b, F.expr(f"_a = _b AND _bt >= _at AND _bt <= _at + INTERVAL {within}")).select("id", "other_id")
+
+
 def motion_energy(frames: DataFrame) -> DataFrame:
     """(video, frame_idx, energy) of a stream of frames: the state of a video is its last frame."""
     kind = frames.schema["video"].dataType.simpleString()

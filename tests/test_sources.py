@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.sources import container
+from cadenza.sources import container, scenes
 from cadenza.sources import frames as io
 
 
@@ -62,3 +63,13 @@ def test_synthetic_access_and_clips(spark):
 def test_png_names_and_signature(spark):
     row = io.png(io.synthetic(spark, 1), 16, 16).first()
     assert row.name == "frame_000000.png" and bytes(row.content[:8]) == b"\x89PNG\r\n\x1a\n"
+
+
+def test_scenes_rest_and_repeat(spark):
+    of = [np.frombuffer(r.pixels, np.uint8).reshape(54, 96, 3).astype(int) for r in scenes.bench(spark, 40, 2, 54, 96, radius=6).orderBy("frame_idx").collect()]
+    change = [np.abs(a - b).mean() for a, b in zip(of, of[1:])]
+    assert len(of) == 40 and change[0] == change[1] == 0 and max(change[20:22]) == 0 and min(change[6:18]) > 0.5
+    assert (of[0] == of[20]).all() and (of[0][27, 24] == scenes.TOOL).all()
+    view = [np.frombuffer(r.pixels, np.uint8).reshape(90, 160, 3).astype(int) for r in scenes.point_of_view(spark, 2, 20, 160, 90).orderBy("frame_idx").collect()]
+    skin = [(np.abs(f - np.array(scenes.SKIN)).max(axis=2) < 25).sum() for f in view]
+    assert len(view) == 40 and max(skin[0], skin[1], skin[19]) < 40 < min(skin[8], skin[12]) and abs(skin[8] - skin[28]) < 0.3 * skin[8]
