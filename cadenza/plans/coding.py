@@ -52,6 +52,13 @@ def dct_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).select("video", "frame_idx", F.posexplode("levels").alias("k", "coef"))
 
 
+@query(f"WITH {_LEVELS} SELECT video, frame_idx, CAST(k AS INTEGER) AS k, v AS coef FROM levels")
+def dct_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dct_quantize() with the transform as a Column expression."""
+    levels = transform.quantise(transform.transformed(F.col("px"), native=False), transform.literal(_LUMA))
+    return frames(spark, sf_dir).select("video", "frame_idx", F.posexplode(levels).alias("k", "coef"))
+
+
 @query(f"""WITH {_BACK} SELECT video, frame_idx, round(max(abs(a - b)), 6) AS max_err, round(CASE WHEN avg((a - b) ** 2) < 1e-10 THEN 100.0 ELSE 10 * log10(65025.0 / avg((a - b) ** 2)) END, 6) AS psnr
 FROM pairs GROUP BY video, frame_idx""")
 def idct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

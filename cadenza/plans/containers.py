@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,20 @@ def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.clips(of, index, 16).select("video", "clip", "start", F.round(total, 4).alias("total"))
 
 
+@query(f"WITH {FRAMES} SELECT video, frame_idx, round(list_sum(list_transform(px, lambda v: 255 - v)), 4) AS total FROM frames")
+def transform_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function on batches of frames: the negative."""
+
+    def negative(batches):
+        for batch in batches:
+            px = batch.column(2)
+            turned = pa.ListArray.from_arrays(px.offsets, pc.subtract(255.0, px.values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), turned], batch.schema.names)
+
+    of = frames(spark, sf_dir)
+    return io.apply(of, negative, of.schema).select("video", "frame_idx", F.round(F.aggregate("px", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 @query("""WITH n AS (SELECT label AS video, count(*) AS n FROM embeddings GROUP BY label)
 SELECT video, CAST(i AS INTEGER) AS i, CAST(floor(i * (n - 1) / 9.0 + 1e-9) AS INTEGER) AS k FROM n, range(0, 10) t(i)""")
 def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions import aggregates
 from cadenza.operators import relational
 from cadenza.plans.inputs import table
 from cadenza.plans.registry import query
@@ -127,6 +128,104 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(keys("nation", "n_nationkey").exceptAll(supplied.distinct()).withColumn("kind", F.lit("no supplier")))
 
 
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def join_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides sorted on the key and merged: neither needs to fit in memory."""
+    return _lines_of_orders(spark, sf_dir, "merge")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def join_shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides shuffled on the key, the smaller hashed in each task."""
+    return _lines_of_orders(spark, sf_dir, "shuffle_hash")
+
+
+def _lines_of_orders(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    joined = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").join(orders.hint(strategy), "l_orderkey")
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_nationkey > r_regionkey AND n_regionkey <> r_regionkey GROUP BY 1")
+def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No equality to shuffle on: a nested loop over the broadcast region, which has five rows by the schema."""
+    pairs = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), (F.col("n_nationkey") > F.col("r_regionkey")) & (F.col("n_regionkey") != F.col("r_regionkey")))
+    return pairs.groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.r_name AS here, b.r_name AS there FROM region a CROSS JOIN region b")
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region with every region: 25 rows by the schema."""
+    region = table(spark, sf_dir, "region")
+    return region.select(F.col("r_name").alias("here")).crossJoin(F.broadcast(region.select(F.col("r_name").alias("there"))))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    of = table(spark, sf_dir, "lineitem").groupingSets([[flag], [status], []], flag, status)
+    return of.agg(F.count("*").alias("n"), F.round(F.sum("l_tax"), 4).alias("tax"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near_parts, true AS near_median FROM lineitem GROUP BY 1")
+def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches against the exact answers: distinct parts within 5 %, the median's rank within 1 %."""
+    of = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.01).alias("sketch"),
+        F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("middle"), F.percentile("l_extendedprice", F.array(F.lit(0.49), F.lit(0.51))).alias("about"),
+    )
+    near = F.col("middle").between(F.col("about")[0], F.col("about")[1])
+    return of.select("l_returnflag", "parts", (F.abs(F.col("sketch") - F.col("parts")) <= 0.05 * F.col("parts")).alias("near_parts"), near.alias("near_median"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS middle FROM lineitem GROUP BY 1")
+def agg_user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped aggregate of one's own: the geometric mean."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(aggregates.geometric_mean("l_quantity"), 6).alias("middle"))
+
+
+@query("SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT p_partkey, regexp_extract_all(p_name, '\\S+') AS w FROM part), range(1, 20) t(i) WHERE i <= len(w)")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function of one's own, laterally: the words of parts' names."""
+    return table(spark, sf_dir, "part").lateralJoin(aggregates.Words(F.col("p_name").outer())).select("p_partkey", "pos", "word")
+
+
+@query("""WITH k AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds, CAST(sum(n) AS BIGINT) AS total, coalesce(max(n) FILTER (WHERE event_type = 'click'), 0) AS clicks, count(*) FILTER (WHERE n >= 10) AS often FROM k GROUP BY user_id""")
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each user, of kinds of events to their number."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = counts.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x)
+    often = F.size(F.map_filter("m", lambda k, v: v >= 10)).cast("long")
+    return m.select("user_id", F.array_join(F.map_keys("m"), ",").alias("kinds"), total.alias("total"), F.coalesce(F.col("m")["click"], F.lit(0)).alias("clicks"), often.alias("often"))
+
+
+@query("""SELECT o_orderkey, round(nth_value(o_totalprice, 2) OVER w, 2) AS second, round(last_value(o_totalprice) OVER w, 2) AS last, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_totalprice), 6) AS share
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def window_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.round(F.nth_value("o_totalprice", 2).over(whole), 2).alias("second"), F.round(F.last("o_totalprice").over(whole), 2).alias("last"),
+        F.round(F.cume_dist().over(W.partitionBy("o_custkey").orderBy("o_totalprice")), 6).alias("share"),
+    )
+
+
+@query("""SELECT * FROM ((SELECT c_nationkey AS k, 'both' AS kind FROM customer INTERSECT ALL SELECT s_nationkey, 'both' FROM supplier)
+UNION ALL (SELECT c_nationkey, 'more customers' FROM customer EXCEPT ALL SELECT s_nationkey, 'more customers' FROM supplier))""")
+def multiset_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bags: repeats count."""
+    keys = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("k"))
+    c, s = keys("customer", "c_nationkey"), keys("supplier", "s_nationkey")
+    return c.intersectAll(s).withColumn("kind", F.lit("both")).unionByName(c.exceptAll(s).withColumn("kind", F.lit("more customers")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('0', '1')")
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of an eighth, by a hash of the key: the same rows on every run and machine."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").where(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 1).isin("0", "1"))
+
+
 @query("""WITH g AS (SELECT user_id, event_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
 SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid""")
