@@ -26,8 +26,9 @@ from cadenza.llm.common import dropped, written
 
 #: Labelled rows to learn from at most; hash buckets; factors of a term.
 ROWS, BUCKETS, FACTORS = 20_000, 1 << 22, 4
-#: What each pass over the labelled rows takes from the size of a weight, and of a term's factors.
-LESS_WEIGHT, LESS_FACTORS = 0.02, 0.005
+#: What each pass over the labelled rows takes from the size of a weight, and of a term's factors; the factors' size at
+#: the start: they grow in proportion to one another, so from nothing a rare pair would take too many passes.
+LESS_WEIGHT, LESS_FACTORS, START = 0.02, 0.01, 0.1
 STEMS = (4, 5, 6, 7)
 #: Words a worker remembers at most; beyond it starts anew.
 WORDS = 500_000
@@ -80,11 +81,11 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs: int = 40, rate: float = 0.3, held: float = 0.5, seed: int = 7) -> Model:
+def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs: int = 40, rate: float = 0.3, held: float = 0.75, seed: int = 7) -> Model:
     """Fit on 0/1 labels and each text's terms (sorted, distinct, all of them among the sorted terms).
 
     The bias stays at the labels' log-odds. Each step shows only a random part, held, of a text's terms,
-    so that one telling term must be enough where others are absent. No term is left out beforehand; the
+    so that one telling term must be enough where others are absent, and two still meet. No term is left out beforehand; the
     model lists those that don't end at exactly zero.
     """
     y = labels.astype(np.float64)
@@ -96,7 +97,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs:
         flat[a:z] = np.searchsorted(terms, r)
     n = len(terms)
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32)
+    w, v = np.zeros(n, np.float32), rng.normal(0, START, (n, FACTORS)).astype(np.float32)
     gw, gv = np.full(n, 0.01, np.float32), np.full((n, FACTORS), 0.1, np.float32)
     done, place, seen = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
     step, steps = 0, max(1, -(-len(rows) // 512))
@@ -179,7 +180,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text, ...): the probability that it is toxic.
 
     Null, empty and blank texts hold no term and get the score of the bias alone; so do all texts if
-    nothing was learned. Repeated rows are answered each; other columns are not read.
+    nothing was learned. Texts of any length are read whole. Repeated rows are answered each; an empty
+    table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
