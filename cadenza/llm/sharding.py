@@ -134,10 +134,12 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     size is the UTF-8 bytes of the text plus 8; shards have nearly equal sums of it, as far as groups
     of equal texts, which stay whole, allow. slot numbers a shard's rows from 0 without gaps. A null
     text counts as empty, with text_crc32 0. A null doc_id, lang or source counts as the least value;
-    lang and source may be missing. Repeated rows are a row each. Other columns are not read.
+    lang and source may be missing. Repeated rows are a row each; rows of one doc_id and text in one
+    bucket take their slots in any order. An empty table gives an empty result. Other columns are not
+    read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    word = [(F.xxhash64(F.col(c).cast("string")).bitwiseAND(F.lit(0xFFFF)) if c in docs.columns else F.lit(0)).cast("double").alias(c) for c in ("lang", "source")]
+    word = [(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string")).bitwiseAND(F.lit(0xFFFF))) if c in docs.columns else F.lit(0)).cast("double").alias(c) for c in ("lang", "source")]
     rows = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),

@@ -127,6 +127,40 @@ def test_toxicity_learns_pairs_and_rare_words_from_texts(spark):
     assert min(got[9000], got[9003]) >= 0.7 > max(got[9001], got[9002]) and got[9004] < 0.4
 
 
+def test_rare_pairs_are_learned_as_shipped(spark):
+    """Of 4,000 labels: one in twenty toxic for a slur alone, and some twenty for an insult and a group, both of which are common in clean texts."""
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 2001)
+    rows, labels = [], []
+    for k in range(4000):
+        held = [f"w{i}" for i in rng.choice(2000, 30, p=share / share.sum())]
+        insult, group, slur = (rng.random(3) < (0.07, 0.07, 0.05)).tolist()
+        held += ["insultword"] * insult + ["groupname"] * group + ["slurword"] * slur
+        rng.shuffle(held)
+        rows.append((k, " ".join(held), "en", "s"))
+        labels.append((k, int(slur or (insult and group))))
+    fill = "w1 w5 w9 w20 w30 w3 w77 w400"
+    df = docs(spark, rows + [(9000 + k, f"{t} {fill}", "en", "s") for k, t in enumerate(["insultword groupname", "insultword", "groupname", "slurword", ""])])
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 9000"), model).collect()}
+    assert min(got[9000], got[9003]) >= 0.7 and max(got[9001], got[9002], got[9004]) < 0.3
+
+
+def test_scores_equal_brute_force(spark):
+    """All weights and all pairs of a text's terms, one by one."""
+    rng = np.random.default_rng(2)
+    vocab = [f"word{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 30))) for _ in range(50)] + [None, "WORD1, word1!"]
+    terms = np.unique([b for w in vocab[:30] for b in toxicity.buckets(w.encode())]).astype(np.int32)
+    model = toxicity.Model(-1.0, terms, rng.normal(0, 0.5, len(terms)), rng.normal(0, 0.3, (len(terms), toxicity.FACTORS)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, [(k, t, None, None) for k, t in enumerate(texts)]), model).collect()}
+    row = {int(t): k for k, t in enumerate(terms)}
+    for k, t in enumerate(texts):
+        at = sorted({row[b] for w in toxicity.words((t or "").encode()) for b in toxicity.buckets(w) if b in row})
+        logit = model.bias + sum(model.weight[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(got[k] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     out = queries.op10_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     caught = [r.toxic for r in out if r.predicted]
@@ -306,6 +340,77 @@ def test_shards_are_even_and_groups_whole(spark, shards):
     assert max(sums.values()) <= max(top, total / shards) * 1.03 + 400 and min(sums.values()) >= rest * 0.97 - 400
 
 
+def plain_shards(rows, shards):
+    """The k-d tree on one machine, with exact medians: the shard of each text."""
+    import xxhash
+
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64) * (h >> 63)
+    groups = {}
+    for doc_id, text, lang, source in rows:
+        size = len((text or "").encode()) + 8
+        g = groups.setdefault(text or "", {"weight": 0, "d": [doc_id, float(np.log2(size)), None, None]})
+        g["weight"] += size
+        g["d"][0] = doc_id if g["d"][0] is None else g["d"][0] if doc_id is None else min(g["d"][0], doc_id)
+        for k, v in ((2, lang), (3, source)):
+            if v is not None:
+                word = signed(v) & 0xFFFF
+                g["d"][k] = word if g["d"][k] is None else min(g["d"][k], word)
+    low, high = ([f(g["d"][k] for g in groups.values() if g["d"][k] is not None) for k in range(4)] for f in (min, max))
+    top = (1 << 20) - 1
+    for t, g in groups.items():
+        g["c"] = [((0 if high[k] == low[k] else min(max(int(((low[k] if v is None else v) - low[k]) / (high[k] - low[k]) * top), 0), top)) << 40) + (signed(t) & ((1 << 40) - 1)) for k, v in enumerate(g["d"])]
+    total = sum(g["weight"] for g in groups.values())
+    limit = max(1.0, 0.02 * total / shards)
+    heavy = sorted((t for t, g in groups.items() if g["weight"] >= limit), key=lambda t: (-groups[t]["weight"], signed(t)))
+    to, room = sharding.deal([groups[t]["weight"] for t in heavy], total - sum(groups[t]["weight"] for t in heavy), shards)
+    out = dict(zip(heavy, to, strict=True))
+
+    def cut(of, first, n):
+        if n == 1:
+            out.update(dict.fromkeys(of, first))
+            return
+        if not of:
+            return
+        c = {t: groups[t]["c"] for t in of}
+        width = [(max(x[k] for x in c.values()) >> 40) - (min(x[k] for x in c.values()) >> 40) for k in range(4)]
+        k = width.index(max(width))
+        mine = room[first : first + n]
+        goal = sum(groups[t]["weight"] for t in of) * sum(mine[: n // 2]) / max(sum(mine), 1e-9)
+        before, order = 0, sorted(of, key=lambda t: c[t][k])
+        for j, t in enumerate(order):
+            w = groups[t]["weight"]
+            if before + w >= goal:
+                break
+            before += w
+        j += 0 if goal - before < before + w - goal else 1
+        cut(order[:j], first, n // 2)
+        cut(order[j:], first + n // 2, n - n // 2)
+
+    cut([t for t in groups if t not in out], 0, shards)
+    return out
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    """With medians refined to the last group."""
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    rng = np.random.default_rng(8)
+    rows = [(int(d), "y" * int(rng.integers(0, 300)) + f" {d}", str(rng.choice(["en", "de", "fr"])), f"s{rng.integers(0, 4)}") for d in rng.permutation(3000)[:700]]
+    rows += [(4000 + k, "a copy of some size " * 9, None, "s1") for k in range(30)] + [(5000, None, "en", "s0"), (5001, "", None, None), (rows[0][0], rows[1][1], "fr", "s2")]
+    for shards in (2, 5, 24):
+        want = plain_shards(rows, shards)
+        text = {}
+        for r in rows:
+            text.setdefault(r[0], []).append(r[1] or "")
+        got = sharding.shard(docs(spark, rows), shards).collect()
+        by = {}
+        for r in got:
+            by.setdefault((r.doc_id, r.text_crc32), set()).add(r.shard)
+        assert len(got) == len(rows)
+        for doc_id, texts in text.items():
+            for t in texts:
+                assert by[doc_id, zlib.crc32(t.encode())] == {want[t]}
+
+
 def test_heavy_groups_leave_even_room():
     to, room = sharding.deal([900, 300, 200], 1000, 4)
     assert to == [0, 1, 2] and room == [0.0, 200.0, 300.0, 500.0]
