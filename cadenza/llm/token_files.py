@@ -18,7 +18,6 @@ of the magic: any Hadoop file system serves, and the commit protocol survives lo
 from __future__ import annotations
 
 import json
-import re
 import struct
 import unicodedata
 import zlib
@@ -27,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +39,13 @@ SKIPPABLE, MAGIC = 0x184D2A5E, b"CZSEEK1\n"
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4"), ("first", "<i8"), ("last", "<i8"), ("docs", "<u4"), ("ids", "<u8")])
 #: Ids after which a frame, and a file, is closed.
 FRAME_IDS, FILE_IDS = 1 << 16, 1 << 23
-#: Bytes of words and ids that a worker remembers of late; as many again are those before, and no longer word is remembered.
-MEMORY, LONGEST = 32 << 20, 256
+#: Words that a task remembers of late; as many again are those before, and no word of more bytes is remembered.
+WORDS, LONGEST = 150_000, 64
+#: Bytes of texts that are encoded at once, about, or one text.
+GROUP = 2 << 20
 #: Closing punctuation, which never begins a contraction.
 _CLOSING = b".,;:!?)*#$%&|"
-_CLOSED = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=\s)")
+_CLOSED = r"([a-z0-9])([.,;:!?])(\s)"
 #: The normaliser's and splitter's parts in vocabularies that are encoded by words.
 PARTS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -72,8 +74,9 @@ class Encoder:
     those of its words in order. Closing punctuation after a letter or digit is a piece of its own in
     such a vocabulary, and letters are lower-cased, so A-Z are lower-cased and the commonest closing
     punctuation is set apart in the whole text first, which leaves fewer different words. Words repeat:
-    the library sees what is new, and a task remembers the words it met of late, in two generations of MEMORY bytes. This holds
-    for vocabularies with the very normaliser and splitter of PARTS; others get whole texts.
+    the library sees what is new, and a task remembers the words it met of late, in two generations of
+    WORDS words of at most LONGEST bytes. This holds for vocabularies with the very normaliser and
+    splitter of PARTS; others get whole texts.
     """
 
     def __init__(self, path: str):
@@ -88,10 +91,12 @@ class Encoder:
         self.added = [t["content"].lower().encode() for t in made["added_tokens"]]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.merge = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", k) for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.size = Known(self, {}), 0
+        self.known = Known(self, {})
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
@@ -99,21 +104,12 @@ class Encoder:
 
     def word(self, word: bytes) -> bytes:
         """The ids of a new word: of what it is without closing punctuation and in lower case, and of the rest."""
-        if word.isalpha() and word.islower():
-            # as the normaliser and splitter have it: merges are left
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
-            return struct.pack(f"<{len(ids)}I", *ids)
         core = word.rstrip(_CLOSING)
         if len(core) < len(word) and (core[-1:].isalnum() or (core and core[-1] >= 0x80 and unicodedata.normalize("NFC", core.decode()).lower().isalpha())):
             return self.known[core] + self.known[word[len(core) :]]
         lower = _lower(word)
         if lower != word:
             return self.known[lower]
-        text = word.decode()
-        if text.isalpha() and text.islower() and max(text) <= "\xff":
-            # bytes' stand-ins and merges are left
-            ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.stand_in))]
-            return struct.pack(f"<{len(ids)}I", *ids)
         return self.whole(word)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -121,14 +117,28 @@ class Encoder:
         if not self.by_words:
             yield from map(self.whole, texts)
             return
-        for text in texts:
-            if self.size > MEMORY:
-                self.known.old = {}  # the generation before the last
-                self.known, self.size = Known(self, self.known), 0
-            lower = text.lower()
-            if not any(t in lower for t in self.added):  # lower case must not make a special token
-                text = _CLOSED.sub(rb" \1", lower)
-            yield b"".join(map(self.known.__getitem__, text.split()))
+        array = pa.array(texts, pa.binary()).cast(pa.string())
+        lower = pc.ascii_lower(array)
+        rows = pc.replace_substring_regex(lower, _CLOSED, r"\1 \2\3")
+        for t in self.added:  # lower case must not make a special token
+            if pc.any(found := pc.match_substring(lower, t.decode())).as_py():
+                rows = pc.if_else(found, array, rows)
+        words = pc.ascii_split_whitespace(rows)
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        # a word that comes again is looked up once
+        ids = [self.known[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        if len(self.known) > WORDS:
+            self.known.old = {}  # the generation before the last
+            self.known = Known(self, self.known)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)]
+        cuts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield out[a:z].tobytes()
 
 
 class Known(dict):
@@ -137,14 +147,22 @@ class Known(dict):
     def __init__(self, encoder: Encoder, old: dict[bytes, bytes]):
         super().__init__()
         self.encoder, self.old = encoder, old
+        self.merge, self.packed, self.stand_in = encoder.merge, encoder.packed, encoder.stand_in
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.encoder.word(word)
+            if not word:  # before leading white space
+                return word
+            packed = self.packed
+            if word.isalpha() and word.islower():  # as the normaliser and splitter have it: merges are left
+                ids = b"".join([packed[t.id] for t in self.merge(word.decode())])
+            elif (text := word.decode()).isalpha() and text.islower() and max(text) <= "\xff":  # bytes' stand-ins and merges
+                ids = b"".join([packed[t.id] for t in self.merge(text.translate(self.stand_in))])
+            else:
+                ids = self.encoder.word(word)
         if len(word) <= LONGEST:
             self[word] = ids
-            self.encoder.size += len(word) + len(ids) + 160  # what Python needs besides
         return ids
 
 
@@ -238,13 +256,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     empty table writes no file with documents. Other columns are not read. tokenizer is the vocabulary file's place, the same on all machines.
     """
 
+    def grouped(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[bytes]]]:
+        start, size, texts = 0, 0, []
+        for k, t in enumerate(batch.column(1).cast(pa.binary())):
+            texts.append(t.as_py() or b"")
+            size += len(texts[-1])
+            if size >= GROUP or k + 1 == batch.num_rows:
+                yield batch.column(0)[start : k + 1].to_pylist(), texts
+                start, size, texts = k + 1, 0, []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, end = Writer(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
+            for ids_of, texts in grouped(batch):
+                for doc_id, ids in zip(ids_of, encoder(tokenizer).encode(texts), strict=True):
                     out.add(NULL_ID if doc_id is None else doc_id, ids + end)
                     if out.full():
                         yield pa.RecordBatch.from_pydict({"content": [out.take()[:-1]]})

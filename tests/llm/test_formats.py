@@ -42,7 +42,7 @@ def test_other_vocabularies_get_whole_texts():
 
 
 def test_a_small_memory_changes_nothing(monkeypatch, tokenizer):
-    monkeypatch.setattr(token_files, "MEMORY", 500)
+    monkeypatch.setattr(token_files, "WORDS", 3)
     monkeypatch.setattr(token_files, "LONGEST", 4)
     e = token_files.Encoder(PATH)
     for text in ["one two three four five", "five four, three.", "six one two six", "one five"]:
@@ -51,9 +51,9 @@ def test_a_small_memory_changes_nothing(monkeypatch, tokenizer):
 
 def test_memory_of_words_is_bounded():
     e = token_files.Encoder(PATH)
-    for k in range(300):
-        list(e.encode([" ".join(f"w{k}x{j}" for j in range(1000)).encode()]))
-    assert len(e.known) + len(e.known.old) < 2 * token_files.MEMORY / 150 + 2000 and not e.known.old.old
+    for k in range(350):
+        list(e.encode([" ".join(f"w{k}x{j}" for j in range(1000)).encode(), b"y" * 1000]))
+    assert token_files.WORDS < len(e.known) + len(e.known.old) < 2 * token_files.WORDS + 4000 and not e.known.old.old and b"y" * 1000 not in e.known
 
 
 def test_another_splitter_gets_whole_texts(tmp_path, tokenizer):
