@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from cadenza.session import shared_dir
 
 #: For each open scratch() the paths made in it.
 _made: list[list[str]] = []
+#: In a Python worker: the large object that it made last, under its key.
+_worker: dict[Hashable, object] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -66,6 +69,18 @@ def row_marks(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
 
 
+def for_worker[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What make() gives, held by this Python worker for its next tasks until another key is asked for.
+
+    Workers serve all operators of a session in turn, and hold the tables of one of them at a time.
+    """
+    if key not in _worker:
+        _worker.clear()
+        pa.default_memory_pool().release_unused()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

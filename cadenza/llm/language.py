@@ -15,7 +15,6 @@ ended, until it meets its first walk, after which the two are the same. So the c
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import for_worker
+
 #: Bounds of the labelled sample: documents and characters for each language.
 DOCS, CHARS = 400, 48_000
 #: Characters of a segment, characters parsed at once (or one text), and times that segments are walked again at most before a text is walked alone.
@@ -137,7 +138,6 @@ class Model:
         self.samples = dict(sorted(samples.items()))
 
 
-@lru_cache(maxsize=1)
 def _automata(samples: tuple[str, ...]) -> tuple[np.ndarray, list[Automaton]]:
     """The code of every code point (0: blank, 1: in no sample), and the automaton of each sample."""
     texts = [characters(t) for t in samples]
@@ -257,7 +257,8 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, automata = _automata(shared.value)
+        samples = shared.value
+        code, automata = for_worker(("language", samples), lambda: _automata(samples))
         for batch in batches:
             start, held, coded, letters = 0, 0, [], []
             for k, t in enumerate(batch.column(at)):

@@ -22,7 +22,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import partitions, written
+from cadenza.llm.common import for_worker, partitions, written
 
 SKIPPABLE, MAGIC = 0x184D2A5E, b"CZSEEK1\n"
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4"), ("first", "<i8"), ("last", "<i8"), ("docs", "<u4"), ("ids", "<u8")])
@@ -166,10 +165,9 @@ class Known(dict):
         return ids
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """The vocabulary, loaded once a worker; tasks make it forget their words."""
-    return Encoder(path)
+    """The vocabulary, held by a worker while it writes tokens; tasks make it forget their words."""
+    return for_worker(("tokens", path), lambda: Encoder(path))
 
 
 class Writer:
@@ -266,14 +264,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
                 start, size, texts = k + 1, 0, []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, end = Writer(), np.array([end_id], "<u4").tobytes()
+        out, end, to_ids = Writer(), np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
         for batch in batches:
             for ids_of, texts in grouped(batch):
-                for doc_id, ids in zip(ids_of, encoder(tokenizer).encode(texts), strict=True):
+                for doc_id, ids in zip(ids_of, to_ids.encode(texts), strict=True):
                     out.add(NULL_ID if doc_id is None else doc_id, ids + end)
                     if out.full():
                         yield pa.RecordBatch.from_pydict({"content": [out.take()[:-1]]})
-        encoder(tokenizer).forget()
+        to_ids.forget()
         if (last := out.take()) is not None:
             yield pa.RecordBatch.from_pydict({"content": [last[:-1]]})
 
