@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,3 +38,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: C
     a = left.withColumn("_la", left_at).withColumn(tag, F.explode(F.array(*(F.floor(left_at / reach) + d for d in (-1, 0, 1)))))
     b = right.withColumn("_ra", right_at).withColumn(tag, F.floor(right_at / reach))
     return a.join(b, [*keys, tag]).where(F.abs(F.col("_la") - F.col("_ra")) <= reach).drop(tag, "_la", "_ra")
+
+
+def beside(key: str, *aggregates: DataFrame) -> DataFrame:
+    """The columns of aggregates by the same key, in one row of each; null is a key too.
+
+    For what shouldn't share one aggregation: beside a distinct count, Spark keeps and shuffles the states of all other
+    aggregates for each distinct value, and a sketch or a percentile's map is large.
+    """
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    return every.groupBy(key).agg(*(F.max(c).alias(c) for c in every.columns if c != key))

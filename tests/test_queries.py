@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -60,6 +61,24 @@ def test_canonical_delta_of_more_videos(spark, tmp_path, name):
     assert set(got) == set(range(1, 12)) and all(abs(got[k] - 64 * (level[k] - level[k - 1])) <= 64 for k in got)
 
 
+@pytest.mark.parametrize("name", ["agg_approximate", "agg_distinct"])
+def test_distinct_values_hold_no_states(spark, name):
+    """What is aggregated by distinct value is the value alone: no sketch, no percentile."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    by_value = [line for line in plan.splitlines() if "Aggregate(keys=" in line and re.search("keys=.*l_(part|supp)key.*functions=", line)]
+    assert by_value and not any(re.search("functions=.*(percentile|median|approx_count)", line) for line in by_value)
+
+
+def test_aggregates_of_few_and_null_lines(spark, tmp_path):
+    """A flag of two lines, a null flag, a flag of nulls: the lower of two prices is a median within the rank allowed."""
+    lines = [("A", 1, 1, 5.0, 10.0), ("A", 2, 1, 7.0, 20.0), (None, 3, 2, 1.0, 5.0), (None, 3, None, None, 6.0), (None, 4, 2, 2.0, 7.0), ("N", None, None, None, None)]
+    spark.createDataFrame(lines, "l_returnflag string, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_returnflag: tuple(r)[1:] for r in QUERIES["agg_approximate"](spark, str(tmp_path)).collect()}
+    assert got == {"A": (2, True, True), None: (2, True, True), "N": (0, True, True)}
+    got = {r.l_returnflag: tuple(r)[1:] for r in QUERIES["agg_distinct"](spark, str(tmp_path)).collect()}
+    assert got == {"A": (1, 2, 6.0), None: (1, 2, 1.5), "N": (0, 0, None)}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
