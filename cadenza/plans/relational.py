@@ -189,7 +189,7 @@ def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS middle FROM lineitem GROUP BY 1")
 def agg_user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grouped aggregate of one's own: the geometric mean."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(aggregates.geometric_mean("l_quantity"), 6).alias("middle"))
+    return aggregates.geometric_mean(table(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_quantity")).withColumn("middle", F.round("middle", 6))
 
 
 @query("SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT p_partkey, regexp_extract_all(p_name, '\\S+') AS w FROM part), range(1, 20) t(i) WHERE i <= len(w)")

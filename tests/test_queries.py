@@ -79,6 +79,16 @@ def test_aggregates_of_few_and_null_lines(spark, tmp_path):
     assert got == {"A": (1, 2, 6.0), None: (1, 2, 1.5), "N": (0, 0, None)}
 
 
+def test_no_task_holds_the_values_of_a_key(spark, tmp_path):
+    """The user-defined aggregate's values stay where they are: what is shuffled are states; nulls, a null key and zeros too."""
+    lines = [("A", 2.0), ("A", 8.0), ("A", None), ("A", 0.0), (None, 3.0), ("N", -1.0), ("R", float("nan")), ("I", float("inf")), *([("B", 5.0)] * 500)]
+    spark.createDataFrame(lines, "l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    of = QUERIES["agg_user_defined"](spark, str(tmp_path))
+    assert {tuple(r) for r in of.collect()} == {("A", 4.0), (None, 3.0), ("N", None), ("R", None), ("I", float("inf")), ("B", 5.0)}
+    plan = of._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") > 0 and "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan and "partial_sum" in plan
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
